@@ -6,7 +6,7 @@ block). Seeds are the n-grams that few documents hold and, so that a passage tha
 into very many documents still has seeds, the ``per_window`` rarest of every window of
 ``passage`` words of an item. Second pass: a document that holds a seed of an item is
 aligned with it (Smith-Waterman over words, words with a few changed letters count almost
-in full) if the item's words around the seed weigh enough; the alignment must cover a
+in full) if enough of some stretch of the item is there in unchanged words; the alignment must cover a
 passage and its words, weighted by their rarity among the items, must mostly agree, so a
 document that only has the form of an item in common is not reported.
 
@@ -20,9 +20,9 @@ the named columns are read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +42,7 @@ class ItemBlock:
     words: list[list[str]]
     n: int = 3
     vocabulary: dict[str, int] = field(default_factory=dict)
+    matrices: dict[int, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for words in self.words:
@@ -56,6 +57,23 @@ class ItemBlock:
         self.grams = [self.codes(c) for c in self.coded]
         self.all_grams = np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.int64)
 
+    def pairs(self, item: int) -> np.ndarray:
+        """The letter pairs of the item's words, made once in every worker."""
+        if item not in self.matrices:
+            self.matrices[item] = pair_matrix(self.words[item])
+        return self.matrices[item]
+
+    def present(self, item: int, ids: np.ndarray, span: int) -> float:
+        """The greatest share of weight, over the item's stretches of ``span`` words, that is in ``ids``."""
+        coded = self.coded[item]
+        weight = self.weight[coded]
+        there = np.zeros(len(self.vocabulary) + 1, bool)
+        there[ids] = True  # unknown words fall on the last place
+        has = np.cumsum(np.concatenate([[0.0], weight * there[coded]]))
+        all_ = np.cumsum(np.concatenate([[0.0], weight]))
+        span = min(span, len(coded))
+        return float(((has[span:] - has[: len(has) - span]) / (all_[span:] - all_[: len(all_) - span])).max())
+
     def codes(self, ids: np.ndarray) -> np.ndarray:
         """One number per n-gram, -1 where a word is not of the vocabulary."""
         m = len(ids) - self.n + 1
@@ -95,12 +113,13 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, n: int, block_char
         yield ItemBlock(ids, words, n)
 
 
-def gram_document_counts(docs: DataFrame, text_col: str, block: ItemBlock) -> np.ndarray:
-    """For each of the block's n-grams the number of documents that hold it, in the order of ``all_grams``."""
+def gram_document_counts(docs: DataFrame, text_col: str, block: ItemBlock) -> tuple[np.ndarray, int]:
+    """For each of the block's n-grams, in the order of ``all_grams``, the documents that hold it; all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.all_grams), np.int64)
+        total, n = np.zeros(len(block.all_grams), np.int64), 0
         for batch in batches:
+            n += len(batch)
             texts = batch.iloc[:, 0].tolist()
             for k in range(0, len(texts), 1000):
                 _, flat, starts = block.encode(texts[k : k + 1000])
@@ -112,46 +131,58 @@ def gram_document_counts(docs: DataFrame, text_col: str, block: ItemBlock) -> np
                 pairs = np.unique(doc * np.int64(len(block.all_grams)) + place[hit])
                 total += np.bincount(pairs % len(block.all_grams), minlength=len(total))
         there = np.flatnonzero(total)
-        yield pd.DataFrame({"gram": there, "df": total[there]})
+        yield pd.DataFrame({"gram": np.append(there, -1), "df": np.append(total[there], n)})
 
-    counts = np.zeros(len(block.all_grams), np.int64)
-    if len(counts):
-        for r in docs.select(text_col).mapInPandas(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toLocalIterator():
+    counts = np.zeros(len(block.all_grams) + 1, np.int64)  # the last place is the number of documents
+    if len(block.all_grams):
+        for r in docs.select(text_col).mapInPandas(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
             counts[r["gram"]] = r["df"]
-    return counts
-
-
-def rare_seeds(block: ItemBlock, counts: np.ndarray, n_docs: int, rare_share: float, passage: int, per_window: int) -> dict[int, list[tuple[int, int]]]:
-    """Seed n-gram -> (item, position) of every place it has in the items."""
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    for item, grams in enumerate(block.grams):
-        df = counts[np.searchsorted(block.all_grams, grams)]
-        chosen = df <= rare_share * n_docs
-        width = min(passage - block.n + 1, len(grams))
-        for s in range(len(grams) - width + 1):
-            chosen[s + np.argsort(df[s : s + width], kind="stable")[:per_window]] = True
-        for position in np.flatnonzero(chosen):
-            seeds.setdefault(int(grams[position]), []).append((item, int(position)))
-    return seeds
-
-
-def _bigrams(word: str) -> np.ndarray:
+    return counts[:-1], int(counts[-1])
+
+
+def rare_seeds(block: ItemBlock, counts: np.ndarray, n_docs: int, rare_share: float, passage: int, per_window: int) -> dict[int, list[int]]:
+    """Seed n-gram -> the items that have it.
+
+    An n-gram is as common as the greater of its shares of the documents and of the items,
+    so neither words of the trade nor the items' own forms make seeds.
+    """
+    held = np.zeros(len(block.all_grams), np.int64)
+    places = [np.searchsorted(block.all_grams, g) for g in block.grams]
+    for p in places:
+        held[np.unique(p)] += 1
+    of_items = held / max(len(block.ids), 1)
+    common = np.maximum(counts / max(n_docs, 1), of_items)
+    seeds: dict[int, set[int]] = {}
+    for item, p in enumerate(places):
+        chosen = (counts[p] <= rare_share * n_docs) & (held[p] == 1)
+        width = min(passage - block.n + 1, len(p))
+        rank = np.empty(len(p))
+        rank[np.lexsort((of_items[p], common[p]))] = np.arange(len(p))
+        for s in range(len(p) - width + 1):
+            chosen[s + np.argsort(rank[s : s + width])[:per_window]] = True
+        for k in np.flatnonzero(chosen):
+            seeds.setdefault(int(block.grams[item][k]), set()).add(item)
+    return {g: sorted(items) for g, items in seeds.items()}
+
+
+@lru_cache(200_000)
+def letter_pairs(word: str) -> tuple[int, ...]:
     padded = f"^{word}$"
-    return np.unique([(ord(a) * 31 + ord(b)) & 1023 for a, b in zip(padded, padded[1:])])
+    return tuple({(ord(a) * 31 + ord(b)) & 1023 for a, b in zip(padded, padded[1:])})
 
 
-def near_words(some: list[str], others: list[str], dice: float = 0.55) -> np.ndarray:
-    """Which words differ in a few letters only, by shared letter pairs."""
-    def matrix(words: list[str]) -> np.ndarray:
-        m = np.zeros((len(words), 1024), np.float32)
-        for k, w in enumerate(words):
-            if len(w) > 3:
-                m[k, _bigrams(w)] = 1
-        return m
+def pair_matrix(words: list[str]) -> np.ndarray:
+    """Which letter pairs each word has; words of up to three letters have none here."""
+    m = np.zeros((len(words), 1024), np.float32)
+    for k, w in enumerate(words):
+        if len(w) > 3:
+            m[k, list(letter_pairs(w))] = 1
+    return m
 
-    a, b = matrix(some), matrix(others)
-    shared = a @ b.T
-    return shared * 2 >= dice * np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :], 1)
+
+def near_words(a: np.ndarray, b: np.ndarray, dice: float = 0.55) -> np.ndarray:
+    """Which words, given by their letter pairs, differ in a few letters only."""
+    return 2 * (a @ b.T) >= dice * np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :], 1)
 
 
 def align(score: np.ndarray) -> tuple[list[tuple[int, int]], int, int]:
@@ -184,19 +215,19 @@ class Limits:
     matched: int = 9
     alone: int = 10
     share: float = 0.65
-    weight: float = 0.6
+    weight: float = 0.78
+    present: float = 0.55
 
 
-def judge_pair(block: ItemBlock, item: int, words: list[str], ids: np.ndarray, near: bool, limits: Limits) -> tuple[int, int, float] | None:
+def judge_pair(block: ItemBlock, item: int, words: list[str], ids: np.ndarray, limits: Limits) -> tuple[int, int, float] | None:
     """(matched words, words of the passage, weight share) of the best alignment, if it is a leak."""
     coded = block.coded[item]
     score = np.where(coded[:, None] == ids[None, :], np.float32(1), np.float32(MISMATCH))
-    if near:
-        unknown = np.flatnonzero(ids < 0)
-        if len(unknown):
-            kinds, back = np.unique([words[k] for k in unknown], return_inverse=True)
-            close = near_words(block.words[item], kinds.tolist())[:, back]
-            score[:, unknown] = np.where(close, np.float32(NEAR), score[:, unknown])
+    unknown = np.flatnonzero(ids < 0)
+    if len(unknown):
+        kinds, back = np.unique([words[k] for k in unknown], return_inverse=True)
+        close = near_words(block.pairs(item), pair_matrix(kinds.tolist()))[:, back]
+        score[:, unknown] = np.where(close, np.float32(NEAR), np.float32(MISMATCH))
     cells, first, last = align(score)
     agree = [i for i, j in cells if score[i, j] > 0]
     span = last - first + 1
@@ -224,10 +255,9 @@ def find_leaks(
     """One row per document and item it leaks: doc_id, item_id, matched_words, item_words, weight_share."""
     schema = LEAKS.format(doc=doc_id, item=item_id)
     docs = docs.filter(F.col(doc_id).isNotNull() & (F.length(text_col) > 0)).select(F.col(doc_id).cast("long"), text_col)
-    n_docs = docs.count()
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(items, item_id, text_col, n, block_chars):
-        counts = gram_document_counts(docs, text_col, block)
+        counts, n_docs = gram_document_counts(docs, text_col, block)
         seeds = rare_seeds(block, counts, n_docs, rare_share, passage, per_window)
         out = out.unionByName(_aligned(docs, doc_id, text_col, block, seeds, schema, passage, least, limits))
     return out.groupBy(doc_id, item_id).agg(F.max_by(F.struct("matched_words", "item_words", "weight_share"), F.struct("weight_share", "matched_words", "item_words")).alias("m")).select(doc_id, item_id, "m.*")
@@ -236,11 +266,6 @@ def find_leaks(
 def _aligned(docs: DataFrame, doc_id: str, text_col: str, block: ItemBlock, seeds: dict, schema: str, passage: int, least: int, limits: Limits) -> DataFrame:
     seed_codes = np.array(sorted(seeds), np.int64)
     names = [c.split()[0] for c in schema.split(", ")]
-    # the lightest passage of each item, for the bound below
-    lightest = [
-        float(np.convolve(block.weight[c], np.ones(min(passage, len(c))), "valid").min()) if len(c) >= least else np.inf for c in block.coded
-    ]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -256,21 +281,18 @@ def _aligned(docs: DataFrame, doc_id: str, text_col: str, block: ItemBlock, seed
                 at = at[seed_codes[place] == code[at]]
                 met: dict[tuple[int, int], list[int]] = {}
                 for position, d in zip(at, np.searchsorted(starts, at, side="right") - 1):
-                    for item, _ in seeds[int(code[position])]:
+                    for item in seeds[int(code[position])]:
                         met.setdefault((int(d), item), []).append(int(position - starts[d]))
                 for (d, item), hits in met.items():
-                    if lightest[item] == np.inf:
+                    reach = len(block.coded[item]) + passage
+                    if reach < least + passage:
                         continue
-                    coded, ids = block.coded[item], flat[starts[d] : starts[d + 1] - 1]
-                    low, high = max(0, hits[0] - len(coded) - passage), min(len(ids), hits[-1] + len(coded) + passage)
-                    ids, own = ids[low:high], words[d][low:high]
-                    # bound: the item's words within any stretch of twice a passage
-                    there = np.where(np.isin(ids, coded), block.weight[np.maximum(ids, 0)], 0.0)
-                    total = np.concatenate([[0.0], np.cumsum(there)])
-                    width = min(2 * passage, len(ids))
-                    if (total[width:] - total[:-width or None]).max() < 0.45 * lightest[item]:
+                    ids = flat[starts[d] : starts[d + 1] - 1]
+                    low, high = max(0, hits[0] - reach), min(len(ids), hits[-1] + reach)
+                    ids = ids[low:high]
+                    if block.present(item, ids, limits.span) < limits.present:
                         continue
-                    found = judge_pair(block, item, own, ids, False, limits) or judge_pair(block, item, own, ids, True, limits)
+                    found = judge_pair(block, item, words[d][low:high], ids, limits)
                     if found:
                         rows.append((int(doc_ids[d]), block.ids[item], *found))
             yield pd.DataFrame(rows, columns=names)

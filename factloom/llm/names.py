@@ -156,12 +156,14 @@ def read_organization(text: str) -> Name:
 
 def read_product(text: str) -> Name:
     text = _BRACKETS.sub(" ", fold(text))
+    text = re.sub(r"\+(?=\s|$|-|_)", " plus ", text)
     tokens = [t for t in re.findall(r"[a-z]+|[0-9]+", text.lower()) if t not in FILLERS["Product"]]
+    roman = not any(t.isdigit() for t in tokens)  # beside digits a letter is no numeral
     numbers, editions, rest = [], set(), []
     for t in tokens:
         if t.isdigit():
             numbers.append(str(int(t)))
-        elif t in ROMAN and len(tokens) > 1:
+        elif roman and t in ROMAN and len(tokens) > 1:
             numbers.append(str(ROMAN[t]))
         elif (full := resolve(t, "edition", False)) and len(tokens) > 1:
             editions.add(full)
@@ -169,7 +171,7 @@ def read_product(text: str) -> Name:
             rest.append(t)
     if not editions and len(rest) > 1:
         longest = max(rest, key=len)
-        for t in [t for t in rest if t is not longest]:
+        for t in [t for t in rest if t is not longest and (len(t) > 1 or t == "a")]:  # one letter is too little but for air
             if full := resolve(t, "edition", True):
                 editions.add(full)
                 rest.remove(t)
