@@ -1,8 +1,9 @@
 """Versions of one text: an inverted join over signature coordinates.
 
 Texts with the same set of shingles are one representative. Every representative has a
-signature of ``coordinates`` minima over hashed shingles; a coordinate of two texts agrees
-with a probability that is their Jaccard similarity. Texts are posted under each pair of
+signature of ``coordinates`` values, each made of ``rows`` minima over hashed shingles; a
+coordinate of two texts agrees with a probability that is their Jaccard similarity to the
+power of ``rows``, so texts that only share phrases of the trade hardly ever meet. Texts are posted under each pair of
 coordinate and value. Two texts that agree in at least ``matches`` coordinates must meet in
 the first ``coordinates - matches + 1`` postings of either, whatever the order, so each text
 is posted only there, rarest value first (prefix), and values of a single text not at all.
@@ -53,12 +54,12 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(gram_hashes(ids, words))
 
 
-def text_signatures(df: DataFrame, id_col: str, text_col: str, words: int, min_words: int, coordinates: int) -> DataFrame:
-    salts = mix64(np.arange(1, coordinates + 1, dtype=np.uint64))
+def text_signatures(df: DataFrame, id_col: str, text_col: str, words: int, min_words: int, coordinates: int, rows: int) -> DataFrame:
+    salts = mix64(np.arange(1, coordinates * rows + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            out = []
             for i, text in batch.itertuples(index=False):
                 found = words_of(text)
                 if len(found) < max(min_words, words):
@@ -66,13 +67,16 @@ def text_signatures(df: DataFrame, id_col: str, text_col: str, words: int, min_w
                 ids = np.fromiter((xxhash.xxh64_intdigest(w) for w in found), np.uint64, len(found))
                 grams = np.unique(gram_hashes(ids, words))
                 with np.errstate(over="ignore"):
-                    least = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
+                    least = np.full(coordinates * rows, np.iinfo(np.uint64).max, np.uint64)
                     for k in range(0, len(grams), 4096):
                         part = (grams[k : k + 4096, None] ^ salts[None, :]) * np.uint64(0x9E3779B97F4A7C15)
                         least = np.minimum(least, (part ^ (part >> np.uint64(29))).min(axis=0))
+                    value = least[:coordinates]
+                    for r in range(1, rows):
+                        value = mix64(value) ^ least[r * coordinates : (r + 1) * coordinates]
                     sums = np.array([grams.sum(), np.bitwise_xor.reduce(mix64(grams))], np.uint64).view(np.int64)
-                rows.append((i, len(grams), int(sums[0]), int(sums[1]), (mix64(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pd.DataFrame(rows, columns=["id", "n", "set_a", "set_b", "signature"])
+                out.append((i, len(grams), int(sums[0]), int(sums[1]), (mix64(value) >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pd.DataFrame(out, columns=["id", "n", "set_a", "set_b", "signature"])
 
     return df.filter(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long"), F.col(text_col)).mapInPandas(run, SIGNATURES)
 
@@ -90,14 +94,14 @@ def _meetings(reps: DataFrame, coordinates: int, matches: int) -> DataFrame:
 
 
 def similar_texts(
-    df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 5, coordinates: int = 32
+    df: DataFrame, id_col: str, text_col: str, words: int = 5, similarity: float = 0.8, min_words: int = 5, coordinates: int = 64, rows: int = 2
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): every candidate text with its representative, and linked pairs of representatives.
 
     members: id, rep. links: a, b, similarity (a < b, at least ``similarity``).
     """
-    matches = match_threshold(coordinates, similarity)
-    signed = cut(text_signatures(df, id_col, text_col, words, min_words, coordinates))
+    matches = match_threshold(coordinates, similarity**rows)
+    signed = cut(text_signatures(df, id_col, text_col, words, min_words, coordinates, rows))
     sets = signed.groupBy("n", "set_a", "set_b").agg(F.min("id").alias("rep"))
     members = cut(signed.select("id", "n", "set_a", "set_b").join(sets, ["n", "set_a", "set_b"]).select("id", "rep"))
     reps = signed.join(members.filter("id = rep").select("id"), "id")
