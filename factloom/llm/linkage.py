@@ -99,7 +99,9 @@ def average_linkage(edges: DataFrame, threshold: float, local_nodes: int = 2000)
         found = cluster_locally(part, threshold)
         return pd.DataFrame({"node": list(found), "cluster": list(found.values())}, dtype="int64")
 
-    local = inside.filter(F.col("size") <= local_nodes).groupBy("component").applyInPandas(run, "node long, cluster long")
+    # the work is in Python, so its partitions must not be merged by the size of their rows
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    local = inside.filter(F.col("size") <= local_nodes).repartition(tasks, "component").groupBy("component").applyInPandas(run, "node long, cluster long")
     large = inside.filter(F.col("size") > local_nodes)
     if large.limit(1).count():
         local = local.unionByName(_distributed(large, threshold))
