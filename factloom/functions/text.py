@@ -7,6 +7,8 @@ from pyspark.sql import Column, functions as F
 #: What counts as part of a word everywhere in this library.
 WORD = r"[\p{L}\p{N}]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: Unicode white space, written so that Java and RE2 read it alike.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
 def slugify(text: Column) -> Column:
@@ -22,12 +24,12 @@ def normalized_id(name: Column, label: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim Unicode white space (``trim`` alone removes only blanks)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and white-space-only text."""
-    return F.coalesce(~text.rlike(r"(?U)\S"), F.lit(True))
+    return F.coalesce(F.regexp_replace(text, SPACE + "+", "") == "", F.lit(True))
 
 
 def alnum_key(text: Column) -> Column:
