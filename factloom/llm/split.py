@@ -10,7 +10,7 @@ Only oversized items leave the JVM (the size test is a column expression); each
 alone, so there is no shuffle and no group. The table is built over blocks of the text, so
 memory follows the block and not the item.
 
-Defined results: null items, null limits and items of at most ``limit`` bytes give no row;
+Defined results: null ids, null items, null limits and items of at most ``limit`` bytes give no row;
 a null or negative overlap counts as 0; an overlap over half of the limit counts as half of
 it; limits under 8 bytes count as 8, so a piece always holds a character and moves on.
 No piece is over the limit; a start that would fall inside a character moves to the
@@ -35,7 +35,7 @@ BOUNDARIES = (
     (2, re.compile(rb"[,;:)\]]+[ \t]+|\xe3\x80\x81|\xef\xbc\x8c|\xe2\x80\x94")),
     (3, re.compile(rb"[.!?]+(?:[\"')\]]|\xe2\x80\x9d|\xe2\x80\x99)*[ \t]+|\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xd8\x9f|\xe0\xa5\xa4[ \t]*")),
     (4, re.compile(rb"\r\n|\n|\r|\xe2\x80\xa8")),
-    (5, re.compile(rb"(?:(?:\r\n|\n|\r)[ \t]*){2,}|\xe2\x80\xa9")),
+    (5, re.compile(rb"(?:(?:\r\n|\n|\r(?!\n))[ \t]*){2,}|\xe2\x80\xa9")),
 )
 MARKS = re.compile("[̀-ͯ‍︀-️ऀ-ःऺ-्\U0001f3fb-\U0001f3ff]+")
 NO_CUT, BLOCK = -1, 1 << 16
@@ -123,7 +123,7 @@ def split_oversized(df: DataFrame, table: str, id_col: str, text_col: str, limit
     """Pieces of every row of ``df`` whose text is over ``limit`` bytes; see the module text."""
     limit, overlap = limit.cast("long"), F.coalesce(overlap.cast("long"), F.lit(0))
     return (
-        df.filter(F.octet_length(text_col) > F.greatest(limit, F.lit(8)))
+        df.filter(F.col(id_col).isNotNull() & limit.isNotNull() & (F.octet_length(text_col) > F.greatest(limit, F.lit(8))))
         .select(F.lit(table).alias("t"), F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("x"), limit.alias("n"), overlap.alias("o"))
         .mapInPandas(_split_batches, PIECES)
     )
