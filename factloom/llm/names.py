@@ -150,6 +150,11 @@ def read_organization(text: str) -> Name:
                 break
     for a, b in LINE_PAIRS:
         if a in lines or b in lines:
+            other = b if a in lines else a
+            if other not in lines and len(rest) > 1:  # the pair's other word, misspelt
+                longest = max(rest, key=len)
+                if typed := next((t for t in rest if t is not longest and edits(t, other, 1) <= 1), None):
+                    rest.remove(typed)
             lines |= {a, b}
     return Name("".join(rest), " ".join(sorted(lines)), " ".join(sorted(legal)))
 

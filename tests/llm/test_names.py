@@ -12,7 +12,7 @@ from factloom.llm.spellings import spelling_clusters, spelling_pairs
 @pytest.mark.parametrize(
     "label, spellings, other",
     [
-        ("Organization", ["Korvatil Oil & Gas Holdings", "KorvatilOil & Gas Hldgs", "holdings, korvatil o&g", "Korvatil-Oil&Gas Hldg.", "The Korvatil Oil & Gas", "Kórvatil Oil & Gas Holdings PLC (company)"], "Korvatil Mining Holdings"),
+        ("Organization", ["Korvatil Oil & Gas Holdings", "KorvatilOil & Gas Hldgs", "holdings, korvatil o&g", "Korvatil-Oil&Gas Hldg.", "The Korvatil Oil & Gas", "Korvatil Ol & Gas Holdings", "Korvatil Oil & aGs", "Kórvatil Oil & Gas Holdings PLC (company)"], "Korvatil Mining Holdings"),
         ("Product", ["Vemudor 5 Max", "Vemudor V Max", "vemudor-5 maximum", "Vemudor Max 5", "the Vemudor No. 5 Max", "VEMUDOR MK 5 MAX (device)"], "Vemudor 6 Max"),
         ("Person", ["Elizabeth Tarvonek", "Liz Tarvonek", "TARVONEK, Elizabeth", "Dr. Elizabeth C. Tarvonek", "Tarvonek Elizabeth"], "Edward Tarvonek"),
     ],
