@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import NOT_WORD
+from factloom.plans.session import cut
 from factloom.providers import Judge, LexicalJudge
 from factloom.schemas import entity_templates, relation_templates
 
@@ -88,9 +89,12 @@ def judge_relations(rels: DataFrame, judged: DataFrame, chunks: DataFrame, judge
 
 
 def validate_graph(nodes: DataFrame, rels: DataFrame, chunks: DataFrame, judge: Judge | None = None, cfg: JudgeConfig = JudgeConfig()) -> tuple[DataFrame, DataFrame]:
-    """(judged nodes, judged relations): two scoring passes, as relations depend on kept nodes."""
+    """(judged nodes, judged relations): two scoring passes, as relations depend on kept nodes.
+
+    The first pass is written once, as three branches read it and scoring may be costly.
+    """
     judge = judge or LexicalJudge()
-    judged = judge_nodes(nodes, chunks, judge, cfg)
+    judged = cut(judge_nodes(nodes, chunks, judge, cfg))
     return judged, judge_relations(rels, judged, chunks, judge, cfg)
 
 
