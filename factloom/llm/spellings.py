@@ -89,7 +89,7 @@ def _same_typed(a: str, b: str) -> bool:
     return d <= 1 or (d == 2 and len(short) >= 6 and not (len(long) - len(short) == 2 and long.startswith(short[:-1])))
 
 
-def spelling_clusters(df: DataFrame, label: str = "label", name: str = "name", cosine: float = 0.35, threshold: float = 0.3, top_n: int | None = None) -> DataFrame:
+def spelling_clusters(df: DataFrame, label: str = "label", name: str = "name", cosine: float = 0.25, threshold: float = 0.15, top_n: int | None = None) -> DataFrame:
     """One row per label and spelling: label, name, n_mentions, cluster."""
     spelled = df.filter(~is_blank(F.col(name))).groupBy(F.col(label).alias("label"), F.col(name).alias("name")).agg(F.count("*").alias("n"))
     read = read_names(spelled, "label", "name", "n")
