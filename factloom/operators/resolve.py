@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.functions.text import context_snippet
 from factloom.operators.graph import id_map, remap_endpoints, rename_nodes
 from factloom.plans.session import cut
+from factloom.providers import Embedder
 
 
 def embed_text(label: Column, name: Column, text: Column | None = None, max_chars: int = 200) -> Column:
@@ -88,24 +89,43 @@ def similar_vectors(vectors: DataFrame, key: str, label: str, vector: str, thres
     return sent.groupBy("l", "i", "j").applyInPandas(meet, "a long, b long, sim double")
 
 
-def greedy_communities(vectors: DataFrame, key: str, label: str, vector: str, threshold: float = 0.85) -> DataFrame:
+def greedy_communities(vectors: DataFrame, key: str, label: str, vector: str, threshold: float = 0.85, weight: str | None = None) -> DataFrame:
     """key, label, cluster: greedy threshold communities per label.
 
     A row's community is all rows within the threshold. Communities are taken largest first
     (ties: the least key), each without the rows already taken. So a row goes to the first of
     the communities it belongs to, which is a maximum over its neighbours and needs no order
     of work: two aggregations, whatever the size of a label. The cluster is named by the row
-    whose community it is. Rows with a null key, label or vector are left out.
+    whose community it is. Rows with a null key, label or vector are left out. A row stands
+    for ``weight`` equal ones where a community's size is counted.
     """
     links = cut(similar_vectors(vectors, key, label, vector, threshold))
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), F.col(vector).alias("v")).dropna().select("k", "l")
+    own_weight = F.lit(1) if weight is None else F.col(weight)
+    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), F.col(vector).alias("v"), own_weight.alias("w")).dropna(subset=["k", "l", "v"]).select("k", "l", "w")
     near = links.select(F.col("a").alias("k"), F.col("b").alias("of")).union(links.select("b", "a"))
-    size = near.groupBy(F.col("k").alias("of")).agg((F.count("*") + 1).alias("size"))
+    if weight is None:
+        size = near.groupBy(F.col("k").alias("of")).agg((F.count("*") + 1).alias("size"))
+    else:
+        others = near.join(rows.select("k", "w"), "k").groupBy("of").agg(F.sum("w").alias("others"))
+        size = others.join(rows.select(F.col("k").alias("of"), "w"), "of").select("of", (F.col("others") + F.col("w")).alias("size"))
     own = size.select(F.col("of").alias("k"), "of", "size")
     first = near.join(size, "of").unionByName(own).groupBy("k").agg(F.max(F.struct("size", (-F.col("of")).alias("less"))).alias("m"))
     return rows.join(first.select("k", (-F.col("m.less")).alias("c")), "k", "left").select(F.col("k").alias(key), F.col("l").alias(label), F.coalesce("c", "k").alias("cluster"))
 
 
+def cluster_mentions(mentions: DataFrame, embedder: Embedder, threshold: float = 0.85) -> DataFrame:
+    """Mentions (label, pos, name) with the cluster of their embedded text.
+
+    Equal texts have equal vectors, so each distinct text is embedded and compared once and
+    counts as often as it is mentioned; the clusters are those of all mentions. A cluster is
+    named by the first mention of the text whose community it is.
+    """
+    names = mentions.groupBy("label", "name").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
+    vectors = cut(embedder.embed(names.withColumn("text", embed_text(F.col("label"), F.col("name"))), "text", "vector"))
+    found = greedy_communities(vectors, "first", "label", "vector", threshold, "n")
+    return mentions.join(vectors.select("label", "name", "first").join(found.select("first", "cluster"), "first").drop("first"), ["label", "name"])
+
+
 def canonical_names(mentions: DataFrame, cluster: str = "cluster") -> DataFrame:
     """label, name, canonical, votes.
 

@@ -14,7 +14,7 @@ from factloom.functions.scores import agreement_zone, score_band, softmax, truth
 from factloom.functions.text import context_snippet, html_unescape, is_blank, normalized_id, slugify
 from factloom.operators import extract, graph, grounding, judge, resolve, stats, texts
 from factloom.plans.session import cut, read_table
-from factloom.providers import LexicalJudge, SuffixExtractor
+from factloom.providers import HashedNgramEmbedder, LexicalJudge, SuffixExtractor
 from factloom.schemas import CATEGORY_HINTS, ENTITY_TEMPLATES, LABELS, RELATION_PHRASES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -343,7 +343,7 @@ def community_detect(spark: SparkSession, d: str) -> DataFrame:
 
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     m = read_table(spark, d, "entity_mentions").filter(~is_blank(F.col("name")) & F.col("label").isNotNull())
-    return m.select("chunk_id", F.col("mention_id").alias("pos"), "label", "name", F.substring(slugify(F.col("name")), 1, 6).alias("cluster"))
+    return resolve.cluster_mentions(m.select("chunk_id", F.col("mention_id").alias("pos"), "label", "name"), HashedNgramEmbedder())
 
 
 _VOTES = f"""
@@ -356,7 +356,7 @@ canon as (select label, name, arg_max(canonical, (votes, length(canonical), -fir
 
 @query(_VOTES + "select * from canon")
 def canonical_vote(spark: SparkSession, d: str) -> DataFrame:
-    """Canonical names of given clusters (the first six characters of the slug)."""
+    """Canonical names of the clusters of embedded mentions."""
     return resolve.canonical_names(_clustered(spark, d))
 
 
