@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from factloom.functions.text import SPACE, html_unescape, is_blank, slugify, strip
+from factloom.plans.session import cut
 from factloom.schemas import CATEGORY_HINTS
 
+#: Fixed value: characters are counted in so many classes; more only make the bound tighter.
+CLASSES = 64
+
 
 def category_hint(label: Column, overrides: dict[str, str] | None = None) -> Column:
     """The hint for a label: an override, else the default category, else null."""
@@ -62,6 +67,60 @@ def title_hits(queries: DataFrame, pages: DataFrame, limit: int | None = None) -
     return top.select("label", "query", F.explode("h").alias("h")).select("label", "query", "h.title", "h.pageid")
 
 
+def _letter_counts(texts: list[str]) -> np.ndarray:
+    """A row per text: how many of its characters fall into each class."""
+    out = np.zeros((len(texts), CLASSES), np.int32)
+    for k, t in enumerate(texts):
+        np.add.at(out[k], [ord(c) % CLASSES for c in t], 1)
+    return out
+
+
+def close_titles(queries: DataFrame, pages: DataFrame, threshold: float, block_rows: int = 4096) -> DataFrame:
+    """label, query, title, pageid, ratio for all pages of the query's label with at least ``threshold``.
+
+    The pages go through the queries in blocks of ``block_rows``. The characters that two
+    texts have in common, in whatever order, bound difflib's matches from above, so a pair
+    whose bound is under the threshold is left out without a loss; all others get the ratio.
+    """
+    asked = cut(queries.filter(~is_blank(F.col("query"))).select("label", "query"))
+    found, block = None, []
+
+    def scan(rows: list[tuple]) -> DataFrame:
+        lowered = [r[1].lower() for r in rows]
+        counts = _letter_counts(lowered)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out: list[tuple] = []
+                for label, part in batch.groupby("label"):
+                    names = part["query"].tolist()
+                    texts = [n.lower() for n in names]
+                    letters, sizes = _letter_counts(texts), np.array([len(t) for t in texts])
+                    for k, (of, title, pageid) in enumerate(rows):
+                        if of != label:
+                            continue
+                        whole = np.maximum(sizes + len(lowered[k]), 1)
+                        near = np.nonzero(2.0 * np.minimum(sizes, len(lowered[k])) / whole >= threshold)[0]
+                        near = near[2.0 * np.minimum(letters[near], counts[k]).sum(axis=1) / whole[near] >= threshold]
+                        matcher = SequenceMatcher(None, "", lowered[k]) if len(near) else None
+                        for i in near:
+                            matcher.set_seq1(texts[i])
+                            if (ratio := matcher.ratio()) >= threshold:
+                                out.append((label, names[i], title, pageid, ratio))
+                yield pd.DataFrame(out, columns=["label", "query", "title", "pageid", "ratio"])
+
+        return asked.mapInPandas(run, "label string, query string, title string, pageid long, ratio double")
+
+    for row in pages.select("label", "title", "pageid").dropna().toLocalIterator():
+        block.append(tuple(row))
+        if len(block) == block_rows:
+            found = scan(block) if found is None else found.unionByName(scan(block))
+            block = []
+    if block or found is None:
+        found = scan(block) if found is None else found.unionByName(scan(block))
+    return found
+
+
 def exact_matches(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """label, query, pageid: pages whose slug is the query's, the least page id of several."""
     side = pages.withColumn("slug", slugify(F.col("title"))).filter("slug != ''").groupBy("label", "slug").agg(F.min("pageid").alias("pageid"))
@@ -73,19 +132,24 @@ def best_matches(queries: DataFrame, pages: DataFrame, threshold: float = 0.9, l
 
     Stages: an exact slug; a reranker's best hit at or above the threshold (``rerank`` adds a
     column ``rerank_score`` to hits, matched by hit and not by text); the best difflib ratio
-    at or above it. Later stages only see queries that are still open.
+    at or above it among all titles of the label. Later stages only see queries that are still
+    open. With a ``limit`` both later stages see the first hits only, as after a search.
     """
     queries = queries.select("label", "query").distinct()
     exact = exact_matches(queries, pages)
     found = exact.select("label", "query", "pageid", F.lit("exact").alias("stage"), F.lit(1.0).alias("ratio"))
     open_ = queries.join(exact, ["label", "query"], "left_anti")
-    hits = title_hits(open_, pages, limit)
     best = lambda df, score: df.filter(F.col(score) >= threshold).groupBy("label", "query").agg(F.max(F.struct(score, (-F.col("pageid")).alias("p"))).alias("m"))
+    hits = title_hits(open_, pages, limit) if rerank is not None or limit is not None else None
     if rerank is not None:
         ranked = best(rerank(hits), "rerank_score").select("label", "query", (-F.col("m.p")).alias("pageid"), F.lit("rerank").alias("stage"), F.col("m.rerank_score").alias("ratio"))
         found = found.unionByName(ranked)
-        hits = hits.join(ranked, ["label", "query"], "left_anti")
-    fuzzy = best(hits.withColumn("ratio", sequence_ratio("query", "title")), "ratio")
+        open_ = open_.join(ranked, ["label", "query"], "left_anti")
+    if limit is None:
+        scored = close_titles(open_, pages, threshold)
+    else:
+        scored = hits.join(open_, ["label", "query"], "left_semi").withColumn("ratio", sequence_ratio("query", "title"))
+    fuzzy = best(scored, "ratio")
     return found.unionByName(fuzzy.select("label", "query", (-F.col("m.p")).alias("pageid"), F.lit("fuzzy").alias("stage"), F.col("m.ratio").alias("ratio")))
 
 
