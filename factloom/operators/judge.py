@@ -106,6 +106,11 @@ def judge_report(judged_nodes: DataFrame, judged_rels: DataFrame) -> DataFrame:
     return both.groupBy("kind", "disposition").agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"), F.count_if("accepted").alias("n_accepted"))
 
 
+def prompt_budget(max_len: int = 512, overhead: int = 96) -> int:
+    """Words left for evidence and fact beside a prompt's fixed part; 512 where a model's maximum is unknown."""
+    return max_len - overhead
+
+
 def build_prompt(evidence: Column, fact: Column, labels: list[str], budget: int, evidence_ratio: float = 0.8) -> Column:
     """A question about one claim, evidence and fact cut to their shares of a word budget."""
     if len(labels) != 3:

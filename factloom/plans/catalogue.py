@@ -196,7 +196,7 @@ select result_id, md5('premise: ' || array_to_string(regexp_extract_all(coalesce
   || 'Does the premise entail the hypothesis? Answer with one of: entailment, contradiction, neutral.' || chr(10) || 'answer:') as prompt_md5 from judge_results"""
 )
 def claim_prompts(spark: SparkSession, d: str) -> DataFrame:
-    prompt = judge.build_prompt(F.col("evidence"), F.col("fact"), ["entailment", "contradiction", "neutral"], 12)
+    prompt = judge.build_prompt(F.col("evidence"), F.col("fact"), ["entailment", "contradiction", "neutral"], judge.prompt_budget())
     return read_table(spark, d, "judge_results").select("result_id", F.md5(prompt).alias("prompt_md5"))
 
 
