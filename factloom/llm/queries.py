@@ -51,7 +51,8 @@ def p3_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _clusters(spark: SparkSession, d: str) -> DataFrame:
-    return spellings.spelling_clusters(read_table(spark, d, "entity_mentions"))
+    titles = read_table(spark, d, "wiki_pages").select("label", F.col("title").alias("name"))
+    return spellings.spelling_clusters(read_table(spark, d, "entity_mentions"), reference=titles)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
