@@ -1,9 +1,12 @@
 import random
 
+from pathlib import Path
+
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm.leaks import find_leaks
+from factloom.llm.leaks import SEGMENT, find_leaks, seed_clusters
 from factloom.llm.mixture import mix_sources, token_counter
 from factloom.llm.repeats import decision_column, judge_repetition, learn_decision_list, repetition_statistics, repetitive_documents
 from factloom.llm.words import words_of
@@ -40,6 +43,35 @@ def test_leaks(spark):
     assert find_leaks(df.limit(0), items).count() == 0 and find_leaks(df, items.limit(0)).count() == 0
 
 
+def test_a_form_beside_a_passage_does_not_hide_it(spark):
+    items = [(k, f"Villagers around {a} rent {n} hectares to {b}, which grows grain for {c}. A clerk in {d} mistook {b} for {c} and mailed {n} dollars to {e}.") for k, (a, b, c, d, e, n) in enumerate(
+        (f"Port {x}a", f"{x}bo Shipping", f"{x}ce Steel", f"Union of {x}di", f"{x}e {x}f", 100 + k) for k, x in enumerate("Kel Vor Tam Zun Hep Lar Bik Dov".split()))]
+    form = "Villagers around Quex rent 9 hectares to Xyla Mining, which grows grain for Yppo Foods. A clerk in Wrom mistook Xyla Mining for Yppo Foods and mailed 9 dollars to Ed Qui. "
+    words = items[3][1].split()
+    df = spark.createDataFrame([(1, form + " ".join(words[1:16])), (2, form * 3), (3, form + "and " + form + " ".join(words[12:27]) + " " + form)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    for block_chars in (16_000_000, 200):
+        assert sorted((r.doc_id, r.item_id) for r in find_leaks(df, table, block_chars=block_chars).collect()) == [(1, 3), (3, 3)]
+    assert find_leaks(df, table, per_window=None).count() == 2
+
+
+def test_seed_clusters():
+    hits = [(k, k) for k in range(100, 2000, 3)] + [(5000, 1), (5003, 4), (5004, 400)]
+    found = seed_clusters(hits)
+    assert all(max(h[s] for h in c) - min(h[s] for h in c) <= SEGMENT for c in found for s in (0, 1))
+    assert {h for c in found for h in c} == set(hits) and [(5000, 1), (5003, 4)] in found and [(5004, 400)] in found
+
+
+DATA = Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_rows_do_not_depend_on_the_blocks_of_items(spark):
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    one, many = (sorted(map(tuple, find_leaks(docs, items, block_chars=n).collect())) for n in (2_000_000, 1_000))
+    assert one == many and len(one) > 30
+
+
 def brute_repeated(text):
     w = words_of(text)
     seen, hit = set(), set()
