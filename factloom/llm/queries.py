@@ -116,16 +116,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-def _repetition(spark: SparkSession, d: str) -> DataFrame:
-    return repeats.repetitive_documents(read_table(spark, d, "documents"))
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats.repetitive_documents(read_table(spark, d, "documents")).filter("repetitive").select("doc_id")
 
 
-def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d).filter("repetitive").select("doc_id")
+def p9_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """What the learned list says of every document."""
+    return repeats.repetitive_documents(read_table(spark, d, "documents"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _repetition(spark, d)
+    """The shares of repeated content of every document, all measured."""
+    shares = ("word_share", "line_share", "sentence_share", "paragraph_share")
+    found = repeats.repetition_shares(read_table(spark, d, "documents"))
+    return found.select("doc_id", "n_words", "repeated_words", *[F.round(c, 9).alias(c) for c in shares])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -133,7 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p2_found, p2_versions, p3_found, p3_cutoffs, p4_found, p4_spellings, p5_found, p5_groups,
-            p6_found, p6_unmatched, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_shares,
+            p6_found, p6_unmatched, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_decisions, p9_shares,
         )
     }
 
@@ -183,6 +187,13 @@ with w as (
 """
 
 
+def _unit_share(between: str) -> str:
+    split = f"string_split_regex(lower(coalesce(text, '')), '{between}')"
+    units = rf"[u for u in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in {split}] if u <> '']"
+    chars = lambda u: f"coalesce(list_sum([length(y) for y in {u}]), 0)"
+    return f"round(case when len({units}) > 1 then 1 - {chars(f'list_distinct({units})')} / {chars(units)} else 0.0 end, 9)"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": """
@@ -205,5 +216,9 @@ where 2 * shared >= na.n + nb.n - shared""",
 from t left join c using (type_key, name_key) left join n using (type_key, name_key) group by 1, 2, 3, 4""",
         "p5_found": _P5 + "select first_id, result_id as copy_id from g where result_id <> first_id",
         "p5_groups": _P5 + "select distinct first_id, n_copies from g where n_copies > 1",
+        "p9_shares": _P9
+        + "select w.doc_id, len(words)::bigint as n_words, coalesce(repeated_words, 0)::bigint as repeated_words, round(case when len(words) > 0 then coalesce(repeated_words, 0) / len(words) else 0.0 end, 9) as word_share, "
+        + ", ".join(f"{_unit_share(between)} as {name}" for name, between in repeats.UNITS.items())
+        + " from documents d join w using (doc_id) left join hit using (doc_id)",
         "p9_found": _P9 + "select doc_id from hit join w using (doc_id) where repeated_words * 3 >= len(words)",
     }

@@ -1,41 +1,42 @@
-"""Repetition inside single documents, judged by a learned decision list.
+"""Repetition inside single documents: a learned decision list first, the exact measure where it is undecided.
+
+``cheap_statistics`` are column expressions over a document's text: how various its words
+and its pairs of neighbouring words are, and the shares of its characters that stand in
+repeated lines, sentences and paragraphs. None of them is the exact measure, which is the
+share of words that stand in a run of five that began earlier in the document.
 
-``repetition_statistics`` measures every document in one narrow pass: shares of repeated
-words (words standing in a run of five that began earlier in the document), of repeated
-lines, sentences and paragraphs, and the share of the most frequent word.
 ``learn_decision_list`` grows threshold conjunctions on one part of labelled statistics by
-sequential covering (each rule takes the condition with the best precision gain until it is
-pure, later conditions are pruned on the other part), removes what the rule covers and goes
-on. The list becomes one ordered ``CASE WHEN`` column expression, evaluated in the JVM.
+sequential covering (each rule takes the condition with the best gain until it is pure, later
+conditions are pruned on the other part), removes what the rule covers and goes on, for
+either class in turn. A rule may decide only if it is pure on all labelled rows; its
+thresholds are then moved away from the other class by ``margin``. The list becomes one
+ordered ``CASE WHEN`` column expression, evaluated in the JVM: 'repetitive', 'clean', or, if
+no rule holds, 'undecided'. Only undecided documents are measured exactly.
 
 Learning uses a bounded, documented sample of labelled rows (``sample_rows``, chosen by a
-hash of the id, so the same at every run); measuring and judging cover all rows. Among
-equally good thresholds the rounder and then the lower one is taken, so a rule for
-repetition never asks for more than the labels do; documents the list calls repetitive or
-cannot decide get the exact check.
-
-Defined results: rows with a null id are left out; null and empty texts and those under five words have shares of 0; empty
-tables give empty results; repeated rows are measured once per row; extra columns are
-ignored.
+hash of the id, so the same at every run); statistics and judging cover all rows.
+
+Defined results: rows with a null id are left out; null and empty texts and those under five
+words are clean and have shares of 0; empty tables give empty results; repeated rows are
+judged once per row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from factloom.functions.text import NOT_WORD
 from factloom.llm.words import WORD, gram_hashes
 
-STATISTICS = (
-    "{id} long, n_words long, repeated_words long, word_share double, line_share double, "
-    "sentence_share double, paragraph_share double, top_word_share double"
-)
-FEATURES = ("word_share", "line_share", "sentence_share", "paragraph_share", "top_word_share")
+FEATURES = ("word_variety", "pair_variety", "line_share", "sentence_share", "paragraph_share")
 ROUND = tuple(sorted({float(Fraction(a, b)) for b in range(1, 13) for a in range(0, b + 1)}))
+#: What lies between two lines, sentences and paragraphs.
+UNITS = {"line_share": r"\r\n|\r|\n", "sentence_share": r"[.!?]+\s+|[\r\n]+", "paragraph_share": r"(?:\r?\n[ \t]*){2,}"}
 
 
 def repeated_word_counts(ids: np.ndarray, doc: np.ndarray, n_docs: int, n: int = 5) -> np.ndarray:
@@ -59,62 +60,61 @@ def repeated_word_counts(ids: np.ndarray, doc: np.ndarray, n_docs: int, n: int =
     return np.bincount(doc[np.cumsum(edge[:-1]) > 0], minlength=n_docs)
 
 
-def _unit_share(units: list[str]) -> float:
-    """Share of characters in units that stood earlier already."""
-    seen, again, total = set(), 0, 0
-    for u in units:
-        u = u.strip()
-        if not u:
-            continue
-        total += len(u)
-        if u in seen:
-            again += len(u)
-        seen.add(u)
-    return again / total if total else 0.0
-
-
-def _measure(texts: list[str | None]) -> dict[str, np.ndarray | list]:
+def _repeated_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and words that are repeated, of every text."""
     vocabulary: dict[str, int] = {}
-    flat, counts, tops = [], [], []
-    add = vocabulary.setdefault
+    add, flat, counts = vocabulary.setdefault, [], []
     for text in texts:
         found = [add(w, len(vocabulary)) for w in WORD.findall(text.lower())] if text else []
         flat.append(np.array(found, np.int64))
         counts.append(len(found))
-        tops.append(np.bincount(np.unique(flat[-1], return_inverse=True)[1]).max() / len(found) if found else 0.0)
     counts = np.array(counts, np.int64)
     ids = np.concatenate(flat) if flat else np.zeros(0, np.int64)
-    repeated = repeated_word_counts(ids, np.repeat(np.arange(len(texts)), counts), len(texts))
-    lines, sentences, paragraphs = [], [], []
-    for text, r in zip(texts, repeated):
-        if r == 0:  # a repeated unit of five words or more repeats words
-            lines.append(0.0), sentences.append(0.0), paragraphs.append(0.0)
-            continue
-        text = text.lower()
-        lines.append(_unit_share(text.splitlines()))
-        sentences.append(_unit_share(text.replace("\n", " ").replace("! ", ". ").replace("? ", ". ").split(". ")))
-        paragraphs.append(_unit_share(text.replace("\r\n", "\n").split("\n\n")))
-    return {
-        "n_words": counts,
-        "repeated_words": repeated,
-        "word_share": np.divide(repeated, counts, out=np.zeros(len(texts)), where=counts > 0),
-        "line_share": lines,
-        "sentence_share": sentences,
-        "paragraph_share": paragraphs,
-        "top_word_share": tops,
-    }
-
-
-def repetition_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of repetition statistics per row of ``df``; narrow, no shuffle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
-                yield pd.DataFrame({id_col: part.iloc[:, 0].to_numpy(), **_measure(part.iloc[:, 1].tolist())})
-
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col)).mapInPandas(run, STATISTICS.format(id=id_col))
+    return counts, repeated_word_counts(ids, np.repeat(np.arange(len(texts)), counts), len(texts))
+
+
+@F.pandas_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("repeated_words", T.LongType())]))
+def exact_measure(texts: pd.Series) -> pd.DataFrame:
+    """The words of a text and those of them that are repeated."""
+    parts = [_repeated_counts(texts.iloc[k : k + 1000].tolist()) for k in range(0, len(texts), 1000)] or [_repeated_counts([])]
+    return pd.DataFrame({"n_words": np.concatenate([p[0] for p in parts]), "repeated_words": np.concatenate([p[1] for p in parts])})
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _unit_share(text: Column, between: str) -> Column:
+    """Share of the characters of non-blank units that stand in units that stood earlier already."""
+    length = lambda a: F.aggregate(a, F.lit(0), lambda s, u: s + F.length(u))
+    trimmed = F.filter(F.transform(F.split(text, between), lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != "")
+    share = lambda units: F.when(F.size(units) > 1, 1 - length(F.array_distinct(units)) / length(units)).otherwise(F.lit(0.0))
+    return F.when(text.rlike(between), _let(trimmed, share)).otherwise(F.lit(0.0))  # most texts are one line
+
+
+def unit_shares(text: Column) -> list[Column]:
+    """line_share, sentence_share, paragraph_share; case is ignored."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return [_unit_share(lowered, between).alias(name) for name, between in UNITS.items()]
+
+
+def cheap_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, text and FEATURES of every row with an id; column expressions only."""
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).alias("text"))
+    split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD), lambda w: w != "")
+    variety = lambda a: F.when(F.size(a) > 0, F.size(F.array_distinct(a)) / F.size(a)).otherwise(1.0)
+    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    both = _let(split, lambda ws: F.struct(variety(ws).alias("word_variety"), _let(pairs(ws), variety).alias("pair_variety")))
+    return rows.select(id_col, "text", both.alias("v"), *unit_shares(F.col("text"))).select(id_col, "text", "v.word_variety", "v.pair_variety", *UNITS)
+
+
+def repetition_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, repeated_words, word_share, line_share, sentence_share, paragraph_share of every document, all exact; narrow."""
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).alias("text"))
+    measured = rows.select(id_col, exact_measure("text").alias("m"), *unit_shares(F.col("text")))
+    share = F.when(F.col("m.n_words") > 0, F.col("m.repeated_words") / F.col("m.n_words")).otherwise(0.0)
+    return measured.select(id_col, "m.n_words", "m.repeated_words", share.alias("word_share"), *UNITS)
 
 
 Rule = list[tuple[str, str, float]]
@@ -161,13 +161,8 @@ def _grow(x: pd.DataFrame, y: np.ndarray, max_conditions: int) -> Rule:
     return rule
 
 
-def learn_decision_list(labelled: pd.DataFrame, label: str = "label", max_rules: int = 8, max_conditions: int = 3) -> list[tuple[Rule, float]]:
-    """Ordered rules for the positive class with their precision on the pruning part.
-
-    ``labelled`` holds FEATURES and a boolean label. Without any positive row the list is
-    empty; then nothing is decided and every document gets the exact check.
-    """
-    x, y = labelled[list(FEATURES)].reset_index(drop=True), labelled[label].to_numpy(bool)
+def _covering(x: pd.DataFrame, y: np.ndarray, max_rules: int, max_conditions: int, margin: float) -> list[Rule]:
+    """Pure rules for the rows where ``y`` holds, by sequential covering."""
     part = np.arange(len(x)) % 3 == 2
     grow, prune, rules = ~part, part, []
     while y[grow].any() and len(rules) < max_rules:
@@ -176,55 +171,69 @@ def learn_decision_list(labelled: pd.DataFrame, label: str = "label", max_rules:
             break
         while len(rule) > 1 and _precision(rule[:-1], x[prune], y[prune].astype(float))[0] >= _precision(rule, x[prune], y[prune].astype(float))[0]:
             rule = rule[:-1]
-        precision, _ = _precision(rule, x, y.astype(float))
         hit = _covers(rule, x)
-        if not (y & hit & grow).any() or precision < 0.5:
+        if not (hit & grow).any():
             break
-        rules.append((rule, precision))
+        firm = [(f, op, t + margin if op == ">=" else t - margin) for f, op, t in rule]
+        if y[_covers(rule, x)].all() and _covers(firm, x).any():
+            rules.append(firm)
         grow, prune = grow & ~hit, prune & ~hit
     return rules
 
 
-def decision_column(rules: list[tuple[Rule, float]], certain: dict[str, float]) -> Column:
-    """The list as one ``CASE WHEN``: 'repetitive', 'clean', or 'undecided'.
+def learn_decision_list(labelled: pd.DataFrame, label: str = "label", max_rules: int = 8, max_conditions: int = 3, margin: float = 0.03) -> list[tuple[Rule, str]]:
+    """Ordered (rule, verdict). ``labelled`` holds FEATURES and a boolean label.
 
-    ``certain`` gives for each feature the lowest value that any positive of the labelled
-    rows had; a document under it for the exact measure is clean, everything else that no
-    rule covers stays undecided.
+    With rows of one class only there is nothing to learn from: the list is empty, and every
+    document gets the exact check.
     """
+    x, y = labelled[list(FEATURES)].reset_index(drop=True), labelled[label].to_numpy(bool)
+    if y.all() or not y.any():
+        return []
+    return [(rule, verdict) for own, verdict in ((~y, "clean"), (y, "repetitive")) for rule in _covering(x, own, max_rules, max_conditions, margin)]
+
+
+def decision_column(rules: list[tuple[Rule, str]]) -> Column:
+    """The list as one ``CASE WHEN``: 'repetitive', 'clean', or 'undecided' where no rule holds."""
     out = None
-    for rule, _ in rules:
+    for rule, verdict in rules:
         test = F.lit(True)
         for feature, op, t in rule:
             test = test & (F.col(feature) >= F.lit(t) if op == ">=" else F.col(feature) < F.lit(t))
-        out = F.when(test, "repetitive") if out is None else out.when(test, "repetitive")
-    for feature, low in certain.items():
-        out = F.when(F.col(feature) < low, "clean") if out is None else out.when(F.col(feature) < low, "clean")
+        out = F.when(test, verdict) if out is None else out.when(test, verdict)
     return (out.otherwise("undecided") if out is not None else F.lit("undecided")).alias("verdict")
 
 
-def judge_repetition(statistics: DataFrame, id_col: str = "doc_id", share: float = 1 / 3, sample_rows: int = 3000) -> DataFrame:
-    """``statistics`` with the verdict of a list learned from ``sample_rows`` of them.
+def learned_rules(df: DataFrame, id_col: str, text_col: str, share: tuple[int, int], sample_rows: int) -> list[tuple[Rule, str]]:
+    """A decision list from at most ``sample_rows`` documents, labelled by the exact measure.
 
-    Labels are the exact definition (repeated words at least ``share`` of all). The sample
-    is the rows with the smallest hashes of the id among about three times as many. Nothing with a word share of half the
-    limit or more is ever called clean without a check.
+    The sample is the rows with the smallest hashes of the id among about three times as many.
+    """
+    a, b = share
+    rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).alias("text"))
+    part = min(1.0, 3 * sample_rows / max(rows.select(id_col).count(), 1))  # so that the tasks together send a bounded number of rows
+    some = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    some = some.orderBy(*[F.xxhash64(F.col(id_col), F.lit(salt)) for salt in (9, 10)]).limit(sample_rows).repartition(32)
+    sample = cheap_statistics(some, id_col, "text").select(exact_measure("text").alias("m"), *FEATURES).select("m.*", *FEATURES).toPandas()
+    sample["label"] = (sample["repeated_words"] > 0) & (sample["repeated_words"] * b >= sample["n_words"] * a)
+    return learn_decision_list(sample)
+
+
+def repetitive_documents(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (1, 3), sample_rows: int = 6000, rules: list[tuple[Rule, str]] | None = None
+) -> DataFrame:
+    """id, FEATURES, verdict, n_words, repeated_words (null unless undecided) and ``repetitive`` for every row with an id.
+
+    ``rules`` are learned from the documents unless given. What is undecided is repetitive if
+    ``share`` of its words are repeated.
     """
-    keys = [F.xxhash64(F.col(id_col), F.lit(salt)) for salt in (9, 10)]
-    part = min(1.0, 3 * sample_rows / max(statistics.count(), 1))  # so that the tasks together send a bounded number of rows
-    some = statistics.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = some.orderBy(*keys).limit(sample_rows).toPandas()
-    sample["label"] = sample["repeated_words"] >= share * sample["n_words"]
-    sample.loc[sample["n_words"] == 0, "label"] = False
-    rules = learn_decision_list(sample) if len(sample) else []
-    return statistics.withColumn("verdict", decision_column(rules, {"word_share": share / 2}))
-
-
-def repetitive_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: tuple[int, int] = (1, 3)) -> DataFrame:
-    """Statistics, verdict and the exact answer ``repetitive`` for every row of ``df``."""
-    from factloom.plans.session import cut
-
     a, b = share
-    judged = judge_repetition(cut(repetition_statistics(df, id_col, text_col)), id_col, a / b)
-    exact = (F.col("repeated_words") > 0) & (F.col("repeated_words") * b >= F.col("n_words") * a)
-    return judged.withColumn("repetitive", (F.col("verdict") != "clean") & exact)
+    statistics = cheap_statistics(df, id_col, text_col)
+    if rules is None:
+        rules = learned_rules(df, id_col, text_col, share, sample_rows)
+    judged = statistics.withColumn("verdict", decision_column(rules))
+    open_ = F.col("verdict") == "undecided"
+    measured = judged.withColumn("m", exact_measure(F.when(open_, F.col("text"))))
+    n, r = F.when(open_, F.col("m.n_words")), F.when(open_, F.col("m.repeated_words"))
+    exact = F.coalesce((r > 0) & (r * b >= n * a), F.lit(False))
+    return measured.select(id_col, *FEATURES, "verdict", n.alias("n_words"), r.alias("repeated_words"), ((F.col("verdict") == "repetitive") | exact).alias("repetitive"))
