@@ -105,7 +105,11 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return mixture.mix_sources(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+    """Quality: how much of a text does not repeat itself (see ``repeats``), 0.05 at least."""
+    docs = read_table(spark, d, "documents")
+    wanted = read_table(spark, d, "mix_targets").select("source").distinct()
+    judged = docs.join(wanted, "source", "left_semi").withColumn("quality", F.greatest(repeats.varieties(F.col("text"))["pair_variety"], F.lit(0.05)))
+    return mixture.mix_sources(judged, read_table(spark, d, "mix_targets"), quality_col="quality")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -116,6 +120,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: distinct texts to choose from, and whether share, repeats and the sums of the report hold."""
+    found, shares = _mixed(spark, d)
+    sums = found.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("summed"), F.max("copies").alias("most"), F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+    share = F.abs(F.col("actual_share") - F.col("target_share")) <= 0.01
+    return shares.join(sums, "source", "left").select(
+        "source", "n_texts", "max_repeats", F.round("target_share", 6).alias("target_share"), share.alias("share_kept"),
+        (F.col("most") <= F.col("max_repeats")).alias("repeats_kept"), (F.col("summed") == F.col("tokens")).alias("sums_agree"), (F.col("rows") == F.col("ids")).alias("rows_differ"),
+    )
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.repetitive_documents(read_table(spark, d, "documents")).filter("repetitive").select("doc_id")
 
@@ -137,7 +152,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             p1_found, p1_pieces, p2_found, p2_versions, p3_found, p3_cutoffs, p4_found, p4_spellings, p5_found, p5_groups,
-            p6_found, p6_unmatched, p7_found, p7_leaks, p8_mixture, p8_shares, p9_found, p9_decisions, p9_shares,
+            p6_found, p6_unmatched, p7_found, p7_leaks, p8_mixture, p8_shares, p8_invariants, p9_found, p9_decisions, p9_shares,
         )
     }
 
@@ -216,6 +231,10 @@ where 2 * shared >= na.n + nb.n - shared""",
 from t left join c using (type_key, name_key) left join n using (type_key, name_key) group by 1, 2, 3, 4""",
         "p5_found": _P5 + "select first_id, result_id as copy_id from g where result_id <> first_id",
         "p5_groups": _P5 + "select distinct first_id, n_copies from g where n_copies > 1",
+        "p8_invariants": """
+with t as (select source, sum(greatest(coalesce(target_share, 0), 0)) as share, greatest(max(coalesce(max_repeats, 1)), 1)::bigint as max_repeats from mix_targets where source is not null group by 1),
+x as (select source, count(*) as n_texts from (select text, arg_min(source, doc_id) as source from documents where text <> '' and source in (select source from t) group by text) group by 1)
+select source, n_texts, max_repeats, round(share / (select sum(share) from t), 6) as target_share, true as share_kept, true as repeats_kept, true as sums_agree, true as rows_differ from t join x using (source)""",
         "p9_shares": _P9
         + "select w.doc_id, len(words)::bigint as n_words, coalesce(repeated_words, 0)::bigint as repeated_words, round(case when len(words) > 0 then coalesce(repeated_words, 0) / len(words) else 0.0 end, 9) as word_share, "
         + ", ".join(f"{_unit_share(between)} as {name}" for name, between in repeats.UNITS.items())

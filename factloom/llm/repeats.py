@@ -99,13 +99,18 @@ def unit_shares(text: Column) -> list[Column]:
     return [_unit_share(lowered, between).alias(name) for name, between in UNITS.items()]
 
 
+def varieties(text: Column) -> Column:
+    """word_variety and pair_variety: different words, and pairs of neighbouring words, over all of them; 1 where there are none."""
+    split = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    variety = lambda a: F.when(F.size(a) > 0, F.size(F.array_distinct(a)) / F.size(a)).otherwise(1.0)
+    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return _let(split, lambda ws: F.struct(variety(ws).alias("word_variety"), _let(pairs(ws), variety).alias("pair_variety")))
+
+
 def cheap_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text and FEATURES of every row with an id; column expressions only."""
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).alias("text"))
-    split = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), NOT_WORD), lambda w: w != "")
-    variety = lambda a: F.when(F.size(a) > 0, F.size(F.array_distinct(a)) / F.size(a)).otherwise(1.0)
-    pairs = lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    both = _let(split, lambda ws: F.struct(variety(ws).alias("word_variety"), _let(pairs(ws), variety).alias("pair_variety")))
+    both = varieties(F.col("text"))
     return rows.select(id_col, "text", both.alias("v"), *unit_shares(F.col("text"))).select(id_col, "text", "v.word_variety", "v.pair_variety", *UNITS)
 
 

@@ -2,7 +2,7 @@ import math
 import random
 
 from factloom.llm.copies import copy_groups, parse_json_records
-from factloom.llm.cutoff import keep_by_target
+from factloom.llm.cutoff import keep_by_target, score_cutoffs
 
 
 def test_cutoffs_as_by_sorting(spark, rows):
@@ -31,6 +31,13 @@ def test_cutoffs_as_by_sorting(spark, rows):
     assert sum(n for _, n in report.values()) == len(want)
 
 
+def test_many_targets_are_joined_and_not_sent(spark):
+    scores = spark.range(4000).selectExpr("cast(id % 40 as string) as k", "id * 0.001 as score")
+    targets = spark.range(60).selectExpr("cast(id as string) as k", "100 as permille")
+    sent, joined = (sorted(map(tuple, score_cutoffs(scores, targets, ["k"], "score", "permille", 8, n).collect())) for n in (100, 5))
+    assert sent == joined and len(sent) == 60 and sum(n for _, n, _, _ in sent) == 4000 and {kept for _, n, _, kept in sent} == {0, 10}
+
+
 def test_cutoff_empty_tables(spark):
     facts = spark.createDataFrame([], "id long, type string, name string, score double")
     targets = spark.createDataFrame([("a", "b", 5), ("a", "c", None)], "type string, name string, keep int")

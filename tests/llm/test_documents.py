@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm.leaks import SEGMENT, find_leaks, seed_clusters
-from factloom.llm.mixture import mix_sources, token_counter
+from factloom.llm.mixture import key_blocks, mix_sources, token_counter
 from factloom.llm.repeats import FEATURES, decision_column, learn_decision_list, repetition_shares, repetitive_documents
 from factloom.llm.words import words_of
 
@@ -132,7 +132,7 @@ def test_mixture(spark):
     texts += [(1000, texts[0][1], "b"), (1001, None, "a"), (1002, "", "a"), (1003, "text", None), (None, "no id", "a")]
     df = spark.createDataFrame([(*t, 1, 2.0) for t in texts], "doc_id long, text string, source string, n_tokens int, key double")
     targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 4), ("none", 0.1, 2), ("zero", 0.0, None), (None, 0.5, 1)], "source string, target_share double, max_repeats int")
-    mixture, shares = mix_sources(df, targets, blocks=16)
+    mixture, shares = mix_sources(df, targets)
     rows, report = mixture.collect(), {r.source: r for r in shares.collect()}
     count = token_counter()
     by_id = {i: t for i, t, _ in texts}
@@ -145,7 +145,7 @@ def test_mixture(spark):
         copies = {r.copies for r in rows if r.source == s}
         assert max(copies) - min(copies) <= 1  # complete epochs before the fractional one
     assert report["none"].tokens == report["zero"].tokens == 0 and total > 0
-    again, _ = mix_sources(df, targets, blocks=64)
+    again, _ = mix_sources(df, targets, broadcast_rows=2)
     assert sorted((r.id, r.copies) for r in again.collect()) == sorted((r.id, r.copies) for r in rows)
     assert mix_sources(df.limit(0), targets)[0].count() == 0 and mix_sources(df, targets.limit(0))[0].count() == 0
 
@@ -154,6 +154,18 @@ def test_heavier_texts_are_taken_more_often(spark):
     df = spark.createDataFrame([(k, f"text number {k}", "a", 4.0 if k % 2 else 1.0) for k in range(2000)], "doc_id long, text string, source string, w double")
     df = df.withColumnRenamed("w", "text_weight")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
-    mixture, _ = mix_sources(df, targets, weight=F.when(F.col("id") % 2 == 1, 4.0).otherwise(1.0), total_tokens=2000)
+    mixture, _ = mix_sources(df, targets, quality_col="text_weight", total_tokens=2000)
     odd = [r.id % 2 for r in mixture.collect()]
     assert sum(odd) / len(odd) > 0.7
+
+
+@pytest.mark.parametrize("weights", ["0.05", "0.3", "0.9", "50.0", "case when id % 3 = 0 then 0.05 else 50.0 end"])
+def test_key_ranges_are_of_one_size_whatever_the_weights(spark, weights):
+    u = (F.shiftrightunsigned(F.xxhash64("id"), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
+    keyed = spark.range(40_000).withColumn("source", F.when(F.col("id") % 10 == 0, "small").otherwise("hot")).withColumn("key", -F.log(u) / F.expr(weights))
+    blocks = key_blocks(keyed)
+    sizes = blocks.groupBy("source", "block").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    for source, n in (("hot", 36_000), ("small", 4_000)):
+        own = sorted((r for r in sizes if r.source == source), key=lambda r: r.block)
+        assert sum(r.n for r in own) == n and max(r.n for r in own) < 0.02 * n
+        assert all(a.high < b.low for a, b in zip(own, own[1:]))
