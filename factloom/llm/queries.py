@@ -159,6 +159,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _KEY = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
 
+_P2 = r"""
+with w as (
+  select text_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from raw_texts where text is not null
+), s as (
+  select distinct text_id, words[p] || ' ' || words[p+1] || ' ' || words[p+2] as gram
+  from (select text_id, words, unnest(range(1, len(words) - 1)) as p from w where len(words) >= 20)
+), n as (select text_id, count(*) as n from s group by 1),
+b as (select x.text_id as a, y.text_id as b, count(*) as shared from s x join s y on x.gram = y.gram and x.text_id < y.text_id group by 1, 2)
+"""
+
 _P3 = f"""
 with t as (
   select {_KEY.format("type")} as type_key, {_KEY.format("name")} as name_key, max(keep_permille) as permille from keep_targets group by 1, 2
@@ -215,16 +225,19 @@ def oracle_sql() -> dict[str, str]:
 select 'raw_texts' as item_table, text_id as item_id from raw_texts where octet_length(encode(text)) > 4096
 union all
 select 'doc_chunks', chunk_id from doc_chunks where octet_length(encode(page_content)) > 4 * chunk_size_tokens""",
-        "p2_found": r"""
-with w as (
-  select text_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as words from raw_texts where text is not null
-), s as (
-  select distinct text_id, words[p] || ' ' || words[p+1] || ' ' || words[p+2] as gram
-  from (select text_id, words, unnest(range(1, len(words) - 1)) as p from w where len(words) >= 20)
-), n as (select text_id, count(*) as n from s group by 1),
-b as (select x.text_id as a, y.text_id as b, count(*) as shared from s x join s y on x.gram = y.gram and x.text_id < y.text_id group by 1, 2)
-select b.a as text_id_a, b.b as text_id_b from b join n na on na.text_id = b.a join n nb on nb.text_id = b.b
+        "p2_found": _P2
+        + """select b.a as text_id_a, b.b as text_id_b from b join n na on na.text_id = b.a join n nb on nb.text_id = b.b
 where 2 * shared >= na.n + nb.n - shared""",
+        "p2_versions": _P2.replace("with w as", "with recursive w as")
+        + """, k as (select text_id, list_sort(list(gram)) as grams from s group by 1),
+m as (select text_id, min(text_id) over (partition by grams) as rep, count(*) over (partition by grams) as n_copies from k),
+l as (select b.a, b.b from b join n na on na.text_id = b.a join n nb on nb.text_id = b.b join m x on x.text_id = b.a and x.rep = b.a join m y on y.text_id = b.b and y.rep = b.b
+  where 2 * shared >= na.n + nb.n - shared),
+e as (select a, b from l union all select b, a from l),
+reach as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
+c as (select a as rep, least(a, min(b)) as class_id from reach group by 1),
+d as (select a as rep, count(*) as n_links from e group by 1)
+select m.text_id, coalesce(c.class_id, m.rep) as class_id, m.n_copies, coalesce(d.n_links, 0)::bigint as n_links from m left join c using (rep) left join d using (rep)""",
         "p3_found": _P3 + "select result_id from n join c using (type_key, name_key) where score >= cutoff",
         "p3_cutoffs": _P3
         + """select t.type_key, t.name_key, coalesce(c.n, 0) as n, c.cutoff, count(n.score) filter (where n.score >= c.cutoff) as n_kept

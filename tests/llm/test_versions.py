@@ -3,7 +3,7 @@ from itertools import combinations
 from math import comb
 
 from factloom.llm.components import connected_components
-from factloom.llm.versions import match_threshold, similar_pairs, similar_texts, version_classes
+from factloom.llm.versions import match_threshold, signature_plan, similar_pairs, similar_texts, version_classes
 from factloom.llm.words import words_of
 
 
@@ -54,6 +54,14 @@ def test_threshold_loses_few():
         assert sum(comb(k, x) * p**x * (1 - p) ** (k - x) for x in range(t)) <= 1e-4
 
 
+def test_plan_keeps_the_loss(spark):
+    for similarity in (0.3, 0.5, 0.7, 0.8, 0.9, 0.95):
+        k, r = signature_plan(similarity)
+        p = similarity**r
+        assert (1 - p) ** k + k * p * (1 - p) ** (k - 1) <= 1e-4 and k * r <= 200
+    assert signature_plan(0.5)[0] < 50
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 50) if k % 10 != 9] + [(60, 60), (None, 3)], "a long, b long")
     found = {r.node: r.component for r in connected_components(edges, "a", "b").collect()}
