@@ -53,7 +53,13 @@ def remap_counters(renamed: DataFrame, rels: DataFrame) -> DataFrame:
 
 
 def upsert_nodes(nodes: DataFrame, order: str, properties: list[str]) -> DataFrame:
-    """One row per label and id with the last non-null value of every property and the row count."""
+    """One row per label and id with the last known value of every property and the row count.
+
+    Null is no value, and neither is NaN.
+    """
+    for name, kind in nodes.select(*properties).dtypes:
+        if kind in ("double", "float"):
+            nodes = nodes.withColumn(name, F.when(~F.isnan(name), F.col(name)))
     last = [F.max_by(F.col(p), F.when(F.col(p).isNotNull(), F.col(order))).alias(p) for p in properties]
     return nodes.filter("label is not null and id is not null").groupBy("label", "id").agg(*last, F.count("*").alias("n_rows"))
 

@@ -191,8 +191,8 @@ def judge_claims(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     rf"""
-select result_id, md5('premise: ' || array_to_string(regexp_extract_all(coalesce(evidence, ''), '[\p{{L}}\p{{N}}]+')[1:9], ' ') || chr(10) || 'hypothesis: '
-  || array_to_string(regexp_extract_all(coalesce(fact, ''), '[\p{{L}}\p{{N}}]+')[1:3], ' ') || chr(10)
+select result_id, md5('premise: ' || array_to_string(regexp_extract_all(coalesce(evidence, ''), '[\p{{L}}\p{{N}}]+')[1:332], ' ') || chr(10) || 'hypothesis: '
+  || array_to_string(regexp_extract_all(coalesce(fact, ''), '[\p{{L}}\p{{N}}]+')[1:84], ' ') || chr(10)
   || 'Does the premise entail the hypothesis? Answer with one of: entailment, contradiction, neutral.' || chr(10) || 'answer:') as prompt_md5 from judge_results"""
 )
 def claim_prompts(spark: SparkSession, d: str) -> DataFrame:
@@ -346,14 +346,32 @@ def _clustered(spark: SparkSession, d: str) -> DataFrame:
     return resolve.cluster_mentions(m.select("chunk_id", F.col("mention_id").alias("pos"), "label", "name"), HashedNgramEmbedder())
 
 
+# greedy communities of the trigram vectors that HashedNgramEmbedder makes of '[label] name'
 _VOTES = f"""
-with m as (select mention_id as pos, label, name, substring({_slug("name")}, 1, 6) as cluster from entity_mentions where {_strip("name")} <> '' and label is not null),
-c as (select label, cluster, arg_max(name, (length(name), -pos)) as canonical from m group by 1, 2),
-v as (select label, name, canonical, count(*) as votes, min(pos) as first from m join c using (label, cluster) group by 1, 2, 3),
+with m as (select mention_id as pos, label, name from entity_mentions where {_strip("name")} <> '' and label is not null),
+t as (select label, name, min(pos) as first, count(*) as n, ' ' || lower('[' || label || '] ' || name) || ' ' as padded from m group by label, name),
+g as (select label, first, unnest(list_transform(range(1, length(padded) - 1), lambda k: ('0x' || substring(md5(substring(padded, k, 3)), 1, 8))::bigint % 256)) as place from t),
+b as (select label, first, place, count(*) as x from g group by all),
+size as (select label, first, sqrt(sum(x * x)) as norm from b group by all),
+near as (
+  select p.label, p.first as k, q.first as c from b p join b q on p.label = q.label and p.place = q.place
+  join size s on s.label = p.label and s.first = p.first join size z on z.label = q.label and z.first = q.first
+  group by p.label, p.first, q.first having sum(p.x * q.x) / (any_value(s.norm) * any_value(z.norm)) >= 0.85 - 1e-6
+),
+weight as (select near.label, near.c, sum(t.n) as size from near join t on t.label = near.label and t.first = near.k group by all),
+f as (select near.label, near.k, arg_max(near.c, (weight.size, -near.c)) as cluster from near join weight using (label, c) group by all),
+d as (select m.pos, m.label, m.name, f.cluster from m join t using (label, name) join f on f.label = m.label and f.k = t.first),
+c as (select label, cluster, arg_max(name, (length(name), -pos)) as canonical from d group by 1, 2),
+v as (select label, name, canonical, count(*) as votes, min(pos) as first from d join c using (label, cluster) group by 1, 2, 3),
 canon as (select label, name, arg_max(canonical, (votes, length(canonical), -first)) as canonical, arg_max(votes, (votes, length(canonical), -first)) as votes from v group by 1, 2)
 """
 
 
+@query(_VOTES + "select label, count(distinct cluster) as n_clusters, count(*) as n_mentions from d group by 1")
+def cluster_counts(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.cluster_counts(_clustered(spark, d))
+
+
 @query(_VOTES + "select * from canon")
 def canonical_vote(spark: SparkSession, d: str) -> DataFrame:
     """Canonical names of the clusters of embedded mentions."""
@@ -379,9 +397,9 @@ rels as (select chunk_id, pos, id as src_id, {_RTYPE} as rtype, tgt_id from (
   select *, lead(id) over w as tgt_id, lead(label) over w as tgt_label from nodes window w as (partition by chunk_id order by pos)) where tgt_id is not null),
 renamed as (select n.*, coalesce(c.canonical, n.name) as new_name, {_slug("coalesce(c.canonical, n.name)")} || '::' || n.label as new_id
   from nodes n left join canon c using (label, name) where {_strip("n.name")} <> '' and n.label is not null),
-map as (select chunk_id, id as old_id, arg_max(new_id, pos) as new_id from renamed group by 1, 2),
+moves as (select chunk_id, id as old_id, arg_max(new_id, pos) as new_id from renamed group by 1, 2),
 moved as (select r.pos, coalesce(s.new_id, src_id) as src_id, rtype, coalesce(t.new_id, tgt_id) as tgt_id, s.new_id is not null as src_mapped, t.new_id is not null as tgt_mapped
-  from rels r left join map s on s.chunk_id = r.chunk_id and s.old_id = r.src_id left join map t on t.chunk_id = r.chunk_id and t.old_id = r.tgt_id)
+  from rels r left join moves s on s.chunk_id = r.chunk_id and s.old_id = r.src_id left join moves t on t.chunk_id = r.chunk_id and t.old_id = r.tgt_id)
 """
 )
 
@@ -445,7 +463,7 @@ def ground_best(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """
-select type as label, id, arg_max(name, node_key) filter (where name is not null) as name, arg_max(judge_score, node_key) filter (where judge_score is not null) as judge_score,
+select type as label, id, arg_max(name, node_key) filter (where name is not null) as name, arg_max(judge_score, node_key) filter (where judge_score is not null and not isnan(judge_score)) as judge_score,
   arg_max(text_id, node_key) filter (where text_id is not null) as text_id, count(*) as n_rows from graph_nodes where type is not null and id is not null group by 1, 2"""
 )
 def graph_upsert(spark: SparkSession, d: str) -> DataFrame:
