@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.functions.text import context_snippet
+from factloom.functions.text import context_snippet, is_blank
 from factloom.operators.graph import id_map, remap_endpoints, rename_nodes
 from factloom.plans.session import cut
 from factloom.providers import Embedder
 
+#: Vectors are single precision: a similarity this close under a threshold reaches it.
+SLACK = 1e-6
+
 
 def embed_text(label: Column, name: Column, text: Column | None = None, max_chars: int = 200) -> Column:
     """``[label] name``, with the text around the name on a second line if a text is given."""
@@ -28,38 +29,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def neighbours_of(queries: DataFrame, vectors: DataFrame, key: str, label: str, vector: str, threshold: float, block_rows: int = 1024) -> DataFrame:
+def neighbours_of(queries: DataFrame, vectors: DataFrame, key: str, label: str, vector: str, threshold: float, query_rows: int = 4096, block_rows: int = 65_536) -> DataFrame:
     """a, b, sim: for each query row all rows of its label with at least ``threshold``.
 
-    The queries go through the whole table in blocks of ``block_rows``; every row is compared
-    with a block by one matrix product, nothing is shuffled.
+    Queries and vectors are dealt to blocks by a hash; every query block of a label meets
+    every vector block in one task as two matrices. One plan whatever the number of queries;
+    a task holds two blocks.
     """
-    out, block = None, []
-
-    def scan(rows: list[tuple]) -> DataFrame:
-        ids, labels = np.array([r[0] for r in rows]), np.array([str(r[1]) for r in rows])
-        matrix = np.array([r[2] for r in rows], np.float64)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                sims = matrix @ np.stack(batch.iloc[:, 2].to_list()).astype(np.float64).T
-                hit = (sims >= threshold) & (labels[:, None] == batch.iloc[:, 1].astype(str).to_numpy()[None, :]) & (ids[:, None] != batch.iloc[:, 0].to_numpy()[None, :])
-                a, b = np.nonzero(hit)
-                yield pd.DataFrame({"a": ids[a], "b": batch.iloc[:, 0].to_numpy()[b], "sim": sims[a, b]})
-
-        return vectors.select(key, label, vector).dropna().mapInPandas(run, "a long, b long, sim double")
-
-    for row in queries.select(key, label, vector).dropna().orderBy(key).toLocalIterator():
-        block.append(row)
-        if len(block) == block_rows:
-            out = scan(block) if out is None else out.unionByName(scan(block))
-            block = []
-    if block or out is None:
-        more = scan(block) if block else queries.sparkSession.createDataFrame([], "a long, b long, sim double")
-        out = more if out is None else out.unionByName(more)
-    return out
+    plain = lambda df: df.select(F.col(key).cast("long").alias("k"), F.col(label).cast("string").alias("l"), F.col(vector).alias("v")).dropna()
+    asked, stored = cut(plain(queries)), plain(vectors)
+    blocks = lambda df, rows, name: df.groupBy("l").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
+    counts = cut(blocks(asked, query_rows, "nq").join(blocks(stored, block_rows, "nv"), "l"))
+    own = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = (
+        asked.join(counts, "l").select("l", own("nq").alias("i"), every("nv").alias("j"), "k", "v", F.lit(True).alias("asks"))
+        .unionByName(stored.join(counts, "l").select("l", every("nq").alias("i"), own("nv").alias("j"), "k", "v", F.lit(False).alias("asks")))
+    )
+
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        one, two = part[part["asks"]], part[~part["asks"]]
+        sims = np.stack(one["v"].to_list()).astype(np.float64) @ np.stack(two["v"].to_list()).astype(np.float64).T if len(one) and len(two) else np.zeros((0, 0))
+        a, b = np.nonzero(sims >= threshold - SLACK)
+        x, y = one["k"].to_numpy()[a], two["k"].to_numpy()[b]
+        return pd.DataFrame({"a": x, "b": y, "sim": sims[a, b]})[x != y]
+
+    return sent.groupBy("l", "i", "j").applyInPandas(meet, "a long, b long, sim double")
 
 
 def similar_vectors(vectors: DataFrame, key: str, label: str, vector: str, threshold: float, block_rows: int = 512) -> DataFrame:
@@ -81,7 +76,7 @@ def similar_vectors(vectors: DataFrame, key: str, label: str, vector: str, thres
         i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
         one, two = part[part["block"] == i], part[part["block"] == j]
         sims = np.stack(one["v"].to_list()).astype(np.float64) @ np.stack(two["v"].to_list()).astype(np.float64).T if len(one) and len(two) else np.zeros((0, 0))
-        a, b = np.nonzero(sims >= threshold)
+        a, b = np.nonzero(sims >= threshold - SLACK)
         x, y = one["k"].to_numpy()[a], two["k"].to_numpy()[b]
         good = x < y if i == j else x != y
         return pd.DataFrame({"a": np.minimum(x, y)[good], "b": np.maximum(x, y)[good], "sim": sims[a, b][good]})
@@ -113,17 +108,32 @@ def greedy_communities(vectors: DataFrame, key: str, label: str, vector: str, th
     return rows.join(first.select("k", (-F.col("m.less")).alias("c")), "k", "left").select(F.col("k").alias(key), F.col("l").alias(label), F.coalesce("c", "k").alias("cluster"))
 
 
-def cluster_mentions(mentions: DataFrame, embedder: Embedder, threshold: float = 0.85) -> DataFrame:
+def cluster_mentions(mentions: DataFrame, embedder: Embedder, threshold: float = 0.85, labels: list[str] | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Mentions (label, pos, name) with the cluster of their embedded text.
 
-    Equal texts have equal vectors, so each distinct text is embedded and compared once and
-    counts as often as it is mentioned; the clusters are those of all mentions. A cluster is
-    named by the first mention of the text whose community it is.
+    Only named mentions of ``labels`` (null: all labels) are clustered and returned. With
+    ``chunks`` (chunk_id, page_content) the text around the name is embedded too; a chunk that
+    is not there counts as empty. Equal texts have equal vectors, so each distinct text is
+    embedded and compared once and counts as often as it is mentioned; the clusters are those
+    of all mentions. A cluster is named by the first mention of the text whose community it is.
     """
-    names = mentions.groupBy("label", "name").agg(F.min("pos").alias("first"), F.count("*").alias("n"))
-    vectors = cut(embedder.embed(names.withColumn("text", embed_text(F.col("label"), F.col("name"))), "text", "vector"))
-    found = greedy_communities(vectors, "first", "label", "vector", threshold, "n")
-    return mentions.join(vectors.select("label", "name", "first").join(found.select("first", "cluster"), "first").drop("first"), ["label", "name"])
+    some = mentions.filter(F.col("label").isNotNull() & ~is_blank(F.col("name")))
+    if labels is not None:
+        some = some.filter(F.col("label").isin(labels))
+    if chunks is None:
+        some = some.withColumn("_text", embed_text(F.col("label"), F.col("name")))
+    else:
+        some = some.join(chunks.select("chunk_id", F.col("page_content").alias("_page")), "chunk_id", "left")
+        some = some.withColumn("_text", embed_text(F.col("label"), F.col("name"), F.coalesce("_page", F.lit("")))).drop("_page")
+    texts = some.groupBy("label", "_text").agg(F.min("pos").alias("_first"), F.count("*").alias("_n"))
+    vectors = cut(embedder.embed(texts, "_text", "_vector"))
+    found = greedy_communities(vectors, "_first", "label", "_vector", threshold, "_n")
+    return some.join(vectors.select("label", "_text", "_first").join(found.select("_first", "cluster"), "_first").drop("_first"), ["label", "_text"]).drop("_text")
+
+
+def cluster_counts(clustered: DataFrame) -> DataFrame:
+    """label, n_clusters, n_mentions."""
+    return clustered.groupBy("label").agg(F.count_distinct("cluster").alias("n_clusters"), F.count("*").alias("n_mentions"))
 
 
 def canonical_names(mentions: DataFrame, cluster: str = "cluster") -> DataFrame:

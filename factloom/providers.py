@@ -7,9 +7,10 @@ sent to the executors and should load its model on first use there.
 
 from __future__ import annotations
 
+import hashlib
 import time
-import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -75,8 +76,16 @@ class Embedder(Protocol):
         """``df`` with a column ``name`` of unit vectors (array<float>)."""
 
 
+@lru_cache(100_000)
+def gram_number(gram: str) -> int:
+    return int(hashlib.md5(gram.encode()).hexdigest()[:8], 16)
+
+
 class HashedNgramEmbedder:
-    """Unit vectors of hashed character n-grams; the same text has the same vector everywhere."""
+    """Unit vectors of hashed character n-grams; the same text has the same vector everywhere.
+
+    An n-gram's place is the first 32 bits of its md5, modulo the size.
+    """
 
     def __init__(self, size: int = 256, n: int = 3):
         self.size, self.n = size, n
@@ -91,7 +100,7 @@ class HashedNgramEmbedder:
                 v = np.zeros(size, np.float32)
                 padded = f" {(t or '').lower()} "
                 for k in range(max(1, len(padded) - n + 1)):
-                    v[zlib.crc32(padded[k : k + n].encode()) % size] += 1
+                    v[gram_number(padded[k : k + n]) % size] += 1
                 out.append(v / (np.linalg.norm(v) or 1))
             return pd.Series(out)
 
