@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import html
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 #: What counts as part of a word everywhere in this library.
 WORD = r"[\p{L}\p{N}]+"
@@ -68,3 +71,13 @@ def html_unescape(text: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
+
+
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def html_unescape_all(text: Column) -> Column:
+    """All named and numeric entities of HTML 5; only texts with an ampersand leave the JVM."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)

@@ -9,7 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from factloom.functions.text import SPACE, html_unescape, is_blank, slugify, strip
+from factloom.functions.text import SPACE, html_unescape_all, is_blank, slugify, strip
+from factloom.operators.graph import id_map, remap_endpoints, rename_nodes
 from factloom.plans.session import cut
 from factloom.schemas import CATEGORY_HINTS
 
@@ -39,7 +40,7 @@ def page_url(url: Column, title: Column, lang: str = "en") -> Column:
 
 def plain_snippet(snippet: Column) -> Column:
     """A hit's snippet without markup tags and with entities resolved."""
-    return html_unescape(F.regexp_replace(snippet, "<[^>]*>", ""))
+    return html_unescape_all(F.regexp_replace(snippet, "<[^>]*>", ""))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -48,21 +49,32 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def _first_word(text: Column) -> Column:
-    return F.split(slugify(text), "-")[0]
+def _trigrams(text: Column) -> Column:
+    padded = F.concat(F.lit("-"), slugify(text), F.lit("-"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substr(padded, k, F.lit(3))))
 
 
-def title_hits(queries: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """label, query and the pages of the label whose title begins with the same slug word, ranked.
+def title_hits(queries: DataFrame, pages: DataFrame, limit: int | None = None, rare: int = 6) -> DataFrame:
+    """label, query and pages of the label whose titles share letters with it, ranked.
 
-    The index is the titles' first words: an equi-join. Rank is by the difference of lengths,
+    The index is the titles' letter trigrams. A query looks only under its ``rare`` trigrams
+    that the fewest titles have, so neither a misspelt word, its place nor a common word
+    decides. Rank is by the share of all trigrams in common, then the difference of lengths,
     then the page id; ``limit`` keeps the first ranks, as a search service would.
     """
-    left = queries.filter(~is_blank(F.col("query"))).withColumn("word", _first_word(F.col("query"))).filter("word != ''")
-    hits = left.join(pages.select("label", F.col("title"), "pageid", _first_word(F.col("title")).alias("word")), ["label", "word"]).drop("word")
+    asked = cut(queries.filter(~is_blank(F.col("query"))).filter(slugify(F.col("query")) != "").select("label", "query", _trigrams(F.col("query")).alias("gq")))
+    titles = cut(pages.filter(slugify(F.col("title")) != "").select("label", "title", "pageid", _trigrams(F.col("title")).alias("gt")))
+    posted = titles.select("label", "title", "pageid", "gt", F.explode("gt").alias("g"))
+    df = posted.groupBy("label", "g").agg(F.count("*").alias("df"))
+    looked = asked.select("label", "query", F.explode("gq").alias("g")).join(df, ["label", "g"])
+    looked = looked.groupBy("label", "query").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "g"))), 1, rare).alias("r"))
+    looked = looked.select("label", "query", F.explode("r").alias("r")).select("label", "query", F.col("r.g").alias("g")).join(asked, ["label", "query"])
+    met = looked.join(posted, ["label", "g"]).select("label", "query", "title", "pageid", "gq", "gt").dropDuplicates(["label", "query", "title", "pageid"])
+    share = F.size(F.array_intersect("gq", "gt")) / F.size(F.array_union("gq", "gt"))
+    hits = met.select("label", "query", "title", "pageid", share.alias("share"))
     if limit is None:
-        return hits
-    order = F.struct(F.abs(F.length("title") - F.length("query")).alias("d"), "pageid", "title")
+        return hits.drop("share")
+    order = F.struct((-F.col("share")).alias("s"), F.abs(F.length("title") - F.length("query")).alias("d"), "pageid", "title")
     top = hits.groupBy("label", "query").agg(F.slice(F.array_sort(F.collect_list(order)), 1, limit).alias("h"))
     return top.select("label", "query", F.explode("h").alias("h")).select("label", "query", "h.title", "h.pageid")
 
@@ -160,6 +172,23 @@ def enrich(nodes: DataFrame, matches: DataFrame, pages: DataFrame, lang: str = "
     return nodes.join(side.withColumnRenamed("pageid", "wiki_pageid"), ["label", "name"], "left")
 
 
+def ground_graph(nodes: DataFrame, rels: DataFrame, pages: DataFrame, labels: list[str] | None = None, threshold: float = 0.9, lang: str = "en") -> tuple[DataFrame, DataFrame]:
+    """(enriched nodes, rewritten relations): named nodes of ``labels`` take their page's title and a new id.
+
+    ``labels`` null: all; an empty list grounds nothing. Nodes without a match keep their name
+    and id, and ends of relations follow the ids of their chunk.
+    """
+    chosen = ~is_blank(F.col("name")) & (F.lit(True) if labels is None else F.col("label").isin(labels) if labels else F.lit(False))
+    asked = nodes.filter(chosen).select("label", F.col("name").alias("query"))
+    matches = cut(best_matches(asked, pages, threshold))
+    enriched = enrich(nodes, matches.select("label", "query", "pageid"), pages, lang)
+    titles = enriched.filter("wiki_title is not null").select("label", "name", F.col("wiki_title").alias("canonical")).distinct()
+    renamed = rename_nodes(enriched, titles)
+    untouched = F.col("wiki_title").isNull()
+    renamed = renamed.withColumn("new_id", F.when(untouched, F.coalesce("id", "new_id")).otherwise(F.col("new_id")))
+    return renamed, remap_endpoints(rels, id_map(renamed))
+
+
 def lookup_through(df: DataFrame, key: str, lookup, schema: str) -> DataFrame:
     """Join ``df`` with a remote lookup of its distinct keys; ``lookup`` maps a list of keys to rows of ``schema``.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import NOT_WORD
@@ -39,6 +39,11 @@ def score_facts(df: DataFrame, judge: Judge, evidence: str = "evidence", fact: s
     return judge.score(df, evidence, fact, name)
 
 
+def judge_claim(spark: SparkSession, judge: Judge, evidence: str, fact: str) -> float | None:
+    """The score of one claim."""
+    return score_facts(spark.createDataFrame([(evidence, fact)], "evidence string, fact string"), judge).first()["score"]
+
+
 def judge_nodes(nodes: DataFrame, chunks: DataFrame, judge: Judge, cfg: JudgeConfig) -> DataFrame:
     """Every node with its fact, score and disposition.
 
@@ -111,8 +116,26 @@ def prompt_budget(max_len: int = 512, overhead: int = 96) -> int:
     return max_len - overhead
 
 
-def build_prompt(evidence: Column, fact: Column, labels: list[str], budget: int, evidence_ratio: float = 0.8) -> Column:
-    """A question about one claim, evidence and fact cut to their shares of a word budget."""
+#: Solved claims (premise, hypothesis, answer) that may go before the question.
+EXAMPLES = (
+    ("Paris is the capital of France.", "Paris is a city.", "entailment"),
+    ("The Nile is the longest river in the world.", "The Nile is an organization.", "contradiction"),
+    ("The shop was doing a promotion on Apple.", "Apple is a product.", "neutral"),
+)
+
+
+def question(labels: list[str]) -> str:
+    return f"Does the premise entail the hypothesis? Answer with one of: {', '.join(labels)}."
+
+
+def solved(examples=EXAMPLES) -> str:
+    """Solved claims as the beginning of a prompt; nothing for no examples."""
+    answers = [answer for *_, answer in EXAMPLES]
+    return "".join(f"premise: {p}\nhypothesis: {h}\n{question(answers)}\nanswer: {a}\n\n" for p, h, a in examples)
+
+
+def build_prompt(evidence: Column, fact: Column, labels: list[str], budget: int, evidence_ratio: float = 0.8, examples=()) -> Column:
+    """A question about one claim, evidence and fact cut to their shares of a word budget, after the solved ``examples``."""
     if len(labels) != 3:
         raise ValueError(f"expected 3 labels, got {len(labels)}")
     room = int(budget * evidence_ratio)
@@ -120,8 +143,8 @@ def build_prompt(evidence: Column, fact: Column, labels: list[str], budget: int,
     def head(text: Column, n: int) -> Column:
         return F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != ""), 1, n), " ") if n > 0 else F.lit("")
 
-    ask = f"Does the premise entail the hypothesis? Answer with one of: {', '.join(labels)}.\nanswer:"
-    return F.concat(F.lit("premise: "), head(evidence, room), F.lit("\nhypothesis: "), head(fact, budget - room), F.lit("\n" + ask))
+    ask = f"{question(labels)}\nanswer:"
+    return F.concat(F.lit(solved(examples) + "premise: "), head(evidence, room), F.lit("\nhypothesis: "), head(fact, budget - room), F.lit("\n" + ask))
 
 
 def mention_relations(nodes: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -115,6 +115,16 @@ def wide_matrix(dense: DataFrame, names: list[str]) -> DataFrame:
     return dense.groupBy("a").pivot("b", sorted(names)).agg(F.first("w"))
 
 
+def distinct_in_order(df: DataFrame, column: str, order: str) -> DataFrame:
+    """column, first: every value with the least ``order`` it has; sorted by it that is the order of appearance. Null is a value."""
+    return df.groupBy(column).agg(F.min(order).alias("first"))
+
+
+def preview(df: DataFrame, order: str, limit: int = 5) -> DataFrame:
+    """The first rows by ``order``: a top-k, never a global sort."""
+    return df.orderBy(order).limit(limit)
+
+
 def review_queue(facts: DataFrame, order: str, limit: int) -> DataFrame:
     """Our addition: the facts nearest to a score of 0, ties by ``order``."""
     return facts.filter(known(F.col("score"))).orderBy(F.abs("score"), order).limit(limit)

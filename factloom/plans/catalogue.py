@@ -9,13 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from factloom.functions.scores import agreement_zone, score_band, softmax, truth_score
 from factloom.functions.text import context_snippet, html_unescape, is_blank, normalized_id, slugify
+from factloom.functions.tokens import token_length
 from factloom.operators import extract, graph, grounding, judge, resolve, stats, texts
 from factloom.plans.session import cut, read_table
 from factloom.providers import HashedNgramEmbedder, LexicalJudge, SuffixExtractor
-from factloom.schemas import CATEGORY_HINTS, ENTITY_TEMPLATES, LABELS, RELATION_PHRASES
+from factloom.schemas import CATEGORY_HINTS, ENTITY_TEMPLATES, LABELS, RELATION_PHRASES, endpoint_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,6 +120,35 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return texts.chunk_documents(docs, size, overlap)
 
 
+@query(
+    f"""
+select (row_number() over (order by min(text_id)) - 1)::int as idx, length(text)::int as parent_len, true as whole, true as within, true as overlapping, true as exact, length(text) > 1024 as several
+from raw_texts where {_NOTBLANK} group by text"""
+)
+def chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Per text: its chunks cover it without a gap, stay in the limit, overlap, are its characters, and are several if it is longer than one."""
+    size, overlap = texts.chunk_budget()
+    docs = cut(texts.build_documents(texts.load_texts(read_table(spark, d, "raw_texts"), "text_id"), "text_id"))
+    chunks = texts.chunk_documents(docs, size, overlap).join(docs.select("idx", "text"), "idx")
+    before = F.lag("chunk_end").over(Window.partitionBy("idx").orderBy("chunk_index"))
+    at = F.substring(F.col("text"), F.col("chunk_start") + 1, F.col("chunk_end") - F.col("chunk_start"))
+    each = chunks.withColumn("before", before)
+    meets = F.col("chunk_start") == 0
+    return each.groupBy("idx", "parent_len").agg(
+        (F.bool_and(F.when(F.col("before").isNull(), meets).otherwise(F.col("chunk_start") <= F.col("before"))) & (F.max("chunk_end") == F.col("parent_len"))).alias("whole"),
+        F.bool_and(F.col("chunk_end") - F.col("chunk_start") <= 4 * size).alias("within"),
+        F.bool_and(F.col("before").isNull() | ((F.col("before") - F.col("chunk_start")).between(1, 4 * overlap))).alias("overlapping"),
+        F.bool_and(F.col("page_content") == at).alias("exact"),
+        (F.count("*") > 1).alias("several"),
+    )
+
+
+@query()
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every chunk by a public tokenizer, which SQL does not have."""
+    return read_table(spark, d, "doc_chunks").select("chunk_id", token_length(F.col("page_content")).alias("n_tokens"))
+
+
 @query(
     """
 select c.idx, count(*) as n_chunks, count(*) filter (where c.page_content = substring(r.text, c.chunk_start + 1, c.chunk_end - c.chunk_start)) as n_exact,
@@ -170,12 +201,20 @@ def _extracted(spark: SparkSession, d: str) -> DataFrame:
     return extract.extract_mentions(read_table(spark, d, "doc_chunks").filter("page_content is not null"), SuffixExtractor())
 
 
-@query()
+_EXTRACTED = r"""
+with f as (
+  select chunk_id, regexp_extract_all(page_content, '\b((?:[A-Z][\p{L}\p{N}_]+|&)(?: (?:[A-Z][\p{L}\p{N}_]+|&))* (?:Company|Corporation|Group|Holdings|Industries|International|Limited|Partners))\b', 1) as found
+  from doc_chunks where page_content is not null
+), m as (select chunk_id, generate_subscripts(found, 1) - 1 as pos, unnest(found) as name from f)
+"""
+
+
+@query(_EXTRACTED + f"select chunk_id, pos::bigint as pos, {_slug('name')} || '::Organization' as id, 'Organization' as label, name, false as failed from m")
 def extracted_mentions(spark: SparkSession, d: str) -> DataFrame:
     return extract.allowed_mentions(_extracted(spark, d))
 
 
-@query()
+@query(_EXTRACTED + "select count(distinct chunk_id) as n_chunks, count(*) as n_mentions, 0::bigint as n_failed_chunks from m")
 def extraction_summary(spark: SparkSession, d: str) -> DataFrame:
     return extract.extraction_summary(_extracted(spark, d))
 
@@ -200,6 +239,38 @@ def claim_prompts(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "judge_results").select("result_id", F.md5(prompt).alias("prompt_md5"))
 
 
+_SOLVED = """premise: Paris is the capital of France.
+hypothesis: Paris is a city.
+Does the premise entail the hypothesis? Answer with one of: entailment, contradiction, neutral.
+answer: entailment
+
+premise: The Nile is the longest river in the world.
+hypothesis: The Nile is an organization.
+Does the premise entail the hypothesis? Answer with one of: entailment, contradiction, neutral.
+answer: contradiction
+
+premise: The shop was doing a promotion on Apple.
+hypothesis: Apple is a product.
+Does the premise entail the hypothesis? Answer with one of: entailment, contradiction, neutral.
+answer: neutral
+
+"""
+
+
+@query(SQL["claim_prompts"].replace("md5('premise: '", f"md5('{_SOLVED}premise: '"))
+def few_shot_prompts(spark: SparkSession, d: str) -> DataFrame:
+    prompt = judge.build_prompt(F.col("evidence"), F.col("fact"), ["entailment", "contradiction", "neutral"], judge.prompt_budget(), examples=judge.EXAMPLES)
+    return read_table(spark, d, "judge_results").select("result_id", F.md5(prompt).alias("prompt_md5"))
+
+
+@query("select node_key, id as end_id from graph_nodes where id is not null")
+def endpoint_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ends given as objects (every second row) and as bare ids come out alike."""
+    rows = read_table(spark, d, "graph_nodes").filter("id is not null")
+    ends = rows.select("node_key", F.when(F.col("node_key") % 2 == 0, F.to_json(F.struct("id", F.col("type").alias("label")))).otherwise(F.col("id")).alias("tgt"))
+    return ends.select("node_key", endpoint_id(ends, "tgt").alias("end_id"))
+
+
 @query(
     """
 with p as (select result_id, exp(score - greatest(score, -score, 0)) as e, exp(-score - greatest(score, -score, 0)) as c, exp(0 - greatest(score, -score, 0)) as u
@@ -611,6 +682,36 @@ def cooccurrence_symmetric(spark: SparkSession, d: str) -> DataFrame:
     return stats.symmetric_weights(_pairs(spark, d))
 
 
+# by evidence text, the unit of the operator's definition
+_BY_EVIDENCE = _PAIRS.replace("distinct chunk_id, name from judge_results where chunk_id is not null", "distinct evidence, name from judge_results where evidence <> ''").replace("x.chunk_id = y.chunk_id", "x.evidence = y.evidence")
+
+
+@query(_BY_EVIDENCE + "select * from pairs")
+def cooccurrence_pairs_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return stats.cooccurrence_pairs(_facts(spark, d))
+
+
+@query(_BY_EVIDENCE + "select * from top")
+def degree_top30_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_names(stats.weighted_degrees(stats.symmetric_weights(stats.cooccurrence_pairs(_facts(spark, d)))))
+
+
+@query(_BY_EVIDENCE + "select x.name as a, y.name as b, coalesce(s.w, 0)::bigint as w from top x cross join top y left join sym s on s.a = x.name and s.b = y.name")
+def cooccurrence_matrix_by_evidence(spark: SparkSession, d: str) -> DataFrame:
+    sym = cut(stats.symmetric_weights(stats.cooccurrence_pairs(_facts(spark, d))))
+    return stats.dense_matrix(sym, stats.top_names(stats.weighted_degrees(sym)))
+
+
+@query("select name, min(result_id) as first from judge_results group by name")
+def distinct_names(spark: SparkSession, d: str) -> DataFrame:
+    return stats.distinct_in_order(_facts(spark, d), "name", "result_id")
+
+
+@query("select result_id, type, name, fact from judge_results order by result_id limit 5")
+def preview_facts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.preview(_facts(spark, d), "result_id").select("result_id", "type", "name", "fact")
+
+
 @query(_PAIRS + "select * from top")
 def degree_top30(spark: SparkSession, d: str) -> DataFrame:
     return stats.top_names(stats.weighted_degrees(stats.symmetric_weights(_pairs(spark, d))))

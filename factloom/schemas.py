@@ -25,7 +25,16 @@ ALLOWED_TRIPLES = [
     ("Organization", "PARTNERED_WITH", "Organization"),
     ("Product", "COMPETES_WITH", "Product"),
 ]
-ENTITY_TEMPLATES = {label: f"is {'an' if label[0] == 'O' else 'a'} {label.lower()}" for label in LABELS}
+ENTITY_TEMPLATES = {
+    "Person": "is a person",
+    "Organization": "is an organization",
+    "Product": "is a product",
+    "Location": "is a location",
+    "City": "is a city",
+    "Country": "is a country",
+    "Government Body": "is a government body",
+    "Year": "is a year",
+}
 RELATION_PHRASES = {
     "WORKS_FOR": "works for",
     "FOUNDED": "founded",
@@ -77,3 +86,23 @@ def canonical_label(label):
     for known in LABELS:
         out = F.when(F.lower(label) == known.lower(), F.lit(known)).otherwise(out)
     return out
+
+
+#: The names under which judges give the three verdicts, normalised to one vocabulary.
+VERDICTS = {
+    "entailment": "entailed",
+    "entailed": "entailed",
+    "contradiction": "contradicted",
+    "contradicted": "contradicted",
+    "neutral": "unknown",
+    "unknown": "unknown",
+}
+
+
+def endpoint_id(df: DataFrame, column: str):
+    """The id of a relation's end given as a struct with an ``id``, as JSON text of such an object, or as the bare id."""
+    kind = df.schema[column].dataType
+    if hasattr(kind, "fieldNames"):
+        return F.col(f"{column}.id")
+    inner = F.get_json_object(F.col(column), "$.id")
+    return F.when(F.ltrim(F.col(column)).startswith("{"), F.coalesce(inner, F.col(column))).otherwise(F.col(column))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators import graph
@@ -38,8 +40,57 @@ def write_canonical_map(canonical: DataFrame, path: str, format: str = "parquet"
     canonical.select("label", "name", "canonical").write.mode("overwrite").format(format).save(path)
 
 
-def write_graph(nodes: DataFrame, rels: DataFrame, docs: DataFrame, path: str, order: str = "pos", doc: str = "chunk_id", properties: list[str] | None = None) -> dict[str, str]:
-    """Upserted tables nodes, edges, docs and mentions under ``path``; their places by name.
+class GraphSink(Protocol):
+    """Where graph tables go. ``prepare`` connects and makes constraints, and raises if it can't."""
+
+    def prepare(self) -> None: ...
+
+    def write(self, name: str, df: DataFrame) -> str:
+        """Write one table and return its place."""
+
+
+class ParquetSink:
+    """One parquet folder per table."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def prepare(self) -> None:
+        pass
+
+    def write(self, name: str, df: DataFrame) -> str:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return f"{self.path}/{name}"
+
+
+class PartitionSink:
+    """Rows to a store that Spark has no writer for: ``open_session`` is called once per task and gets batches of rows as dicts."""
+
+    def __init__(self, open_session, batch_rows: int = 1000):
+        self.open_session, self.batch_rows = open_session, batch_rows
+
+    def prepare(self) -> None:
+        pass
+
+    def write(self, name: str, df: DataFrame) -> str:
+        open_session, size = self.open_session, self.batch_rows
+
+        def send(rows) -> None:
+            put, batch = open_session(name), []
+            for row in rows:
+                batch.append(row.asDict(recursive=True))
+                if len(batch) == size:
+                    put(batch)
+                    batch = []
+            if batch:
+                put(batch)
+
+        df.foreachPartition(send)
+        return name
+
+
+def write_graph(nodes: DataFrame, rels: DataFrame, docs: DataFrame, sink: str | GraphSink, order: str = "pos", doc: str = "chunk_id", properties: list[str] | None = None) -> dict[str, str]:
+    """Upserted tables nodes, edges, docs and mentions to a sink, or parquet under a path; their places by name.
 
     Node keys are unique by construction; ``graph.repeated_ids`` audits a foreign table.
     """
@@ -49,8 +100,6 @@ def write_graph(nodes: DataFrame, rels: DataFrame, docs: DataFrame, path: str, o
         "docs": docs.dropDuplicates([doc]),
         "mentions": graph.mention_edges(nodes, doc),
     }
-    places = {}
-    for name, df in tables.items():
-        places[name] = f"{path}/{name}"
-        df.write.mode("overwrite").parquet(places[name])
-    return places
+    sink = ParquetSink(sink) if isinstance(sink, str) else sink
+    sink.prepare()
+    return {name: sink.write(name, df) for name, df in tables.items()}
