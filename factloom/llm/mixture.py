@@ -26,32 +26,20 @@ null or not above 0 counts as 0.000001.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.tokens import token_counter
 from factloom.llm.cutoff import BROADCAST_ROWS, sender
 from factloom.plans.session import cut
 
-VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Key ranges of a source, found in two steps of their root.
 BLOCKS, STEP = 256, 16
 
 
-def token_counter(vocabulary: str | None = None):
-    """A function from texts to token counts; ``vocabulary`` is a path, else the public file."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    encoding = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
-
-
 def count_tokens(df: DataFrame, text_col: str, keep: list[Column], schema: str, vocabulary: str | None = None) -> DataFrame:
     """``keep`` columns (as declared in ``schema``) and n_tokens; the text itself is dropped."""
 

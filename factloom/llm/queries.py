@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from factloom.llm import copies, cutoff, ground, leaks, mixture, repeats, spellings, split, versions
 from factloom.plans.session import cut, read_table
@@ -26,6 +27,26 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p1_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: its pieces stay in the limit, begin and end where the item does, follow each other with the wanted overlap, and are its bytes."""
+    raw, chunks = read_table(spark, d, "raw_texts"), read_table(spark, d, "doc_chunks")
+    items = raw.select(F.lit("raw_texts").alias("item_table"), F.col("text_id").alias("item_id"), "text", F.lit(4096).alias("most"), F.lit(400).alias("overlap")).unionByName(
+        chunks.select(F.lit("doc_chunks").alias("item_table"), F.col("chunk_id").alias("item_id"), F.col("page_content").alias("text"), (F.col("chunk_size_tokens") * 4).alias("most"), (F.col("chunk_overlap_tokens") * 4).alias("overlap"))
+    )
+    before = F.lag("end_byte").over(Window.partitionBy("item_table", "item_id").orderBy("piece_index"))
+    pieces = _pieces(spark, d).withColumn("before", before).join(items, ["item_table", "item_id"])
+    data = F.encode("text", "UTF-8")
+    cut_out = F.substring(data, F.col("start_byte").cast("int") + 1, (F.col("end_byte") - F.col("start_byte")).cast("int"))
+    shared = F.col("before") - F.col("start_byte")
+    return pieces.groupBy("item_table", "item_id").agg(
+        F.max(F.octet_length("text")).cast("long").alias("n_bytes"),
+        F.bool_and(F.octet_length("piece") <= F.col("most")).alias("within"),
+        ((F.min("start_byte") == 0) & (F.max("end_byte") == F.max(F.octet_length("text")))).alias("whole"),
+        F.bool_and(F.col("before").isNull() | shared.between(F.col("overlap"), F.col("overlap") + 3)).alias("overlapping"),
+        F.bool_and(cut_out == F.encode("piece", "UTF-8")).alias("exact"),
+    )
+
+
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return versions.similar_texts(read_table(spark, d, "raw_texts"), "text_id", "text", words=3, similarity=0.5, min_words=20)
 
@@ -151,7 +172,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_pieces, p2_found, p2_versions, p3_found, p3_cutoffs, p4_found, p4_spellings, p5_found, p5_groups,
+            p1_found, p1_pieces, p1_invariants, p2_found, p2_versions, p3_found, p3_cutoffs, p4_found, p4_spellings, p5_found, p5_groups,
             p6_found, p6_unmatched, p7_found, p7_leaks, p8_mixture, p8_shares, p8_invariants, p9_found, p9_decisions, p9_shares,
         )
     }
@@ -225,6 +246,10 @@ def oracle_sql() -> dict[str, str]:
 select 'raw_texts' as item_table, text_id as item_id from raw_texts where octet_length(encode(text)) > 4096
 union all
 select 'doc_chunks', chunk_id from doc_chunks where octet_length(encode(page_content)) > 4 * chunk_size_tokens""",
+        "p1_invariants": """
+select 'raw_texts' as item_table, text_id as item_id, octet_length(encode(text)) as n_bytes, true as within, true as whole, true as overlapping, true as exact from raw_texts where octet_length(encode(text)) > 4096
+union all
+select 'doc_chunks', chunk_id, octet_length(encode(page_content)), true, true, true, true from doc_chunks where octet_length(encode(page_content)) > 4 * chunk_size_tokens""",
         "p2_found": _P2
         + """select b.a as text_id_a, b.b as text_id_b from b join n na on na.text_id = b.a join n nb on nb.text_id = b.b
 where 2 * shared >= na.n + nb.n - shared""",

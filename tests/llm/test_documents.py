@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.llm.leaks import SEGMENT, find_leaks, seed_clusters
-from factloom.llm.mixture import key_blocks, mix_sources, token_counter
+from factloom.functions.tokens import token_counter
+from factloom.llm.mixture import key_blocks, mix_sources
 from factloom.llm.repeats import FEATURES, decision_column, learn_decision_list, repetition_shares, repetitive_documents
 from factloom.llm.words import words_of
 
