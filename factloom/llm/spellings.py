@@ -53,31 +53,32 @@ def _ngrams(stem: Column) -> Column:
 
 
 def _vectors(forms: DataFrame) -> DataFrame:
-    """form, label, guard, gram, w (unit length), tail: the norm from this gram on, rarest first."""
-    grams = forms.filter("length(stem) > 0").select("form", "label", "guard", F.explode(_ngrams(F.col("stem"))).alias("gram"))
-    tf = grams.groupBy("form", "label", "guard", "gram").agg(F.count("*").alias("tf"))
+    """form, label, guard, size (letters), gram, w (unit length), tail: the norm from this gram on, rarest first."""
+    grams = forms.filter("length(stem) > 0").select("form", "label", "guard", F.length("stem").alias("size"), F.explode(_ngrams(F.col("stem"))).alias("gram"))
+    tf = grams.groupBy("form", "label", "guard", "size", "gram").agg(F.count("*").alias("tf"))
     df = tf.groupBy("label", "gram").agg(F.count("*").alias("df"))
     n = forms.groupBy("label").agg(F.count("*").alias("n"))
     weighed = tf.join(df, ["label", "gram"]).join(n, "label").withColumn("w", F.col("tf") * F.sqrt(F.log1p(F.col("n") / F.col("df"))))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("form")))
     unit = weighed.withColumn("w", F.col("w") / norm)
     rest = Window.partitionBy("form").orderBy("df", "gram").rowsBetween(0, Window.unboundedFollowing)
-    return unit.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).select("form", "label", "guard", "gram", "w", "tail")
+    return unit.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).select("form", "label", "guard", "size", "gram", "w", "tail")
 
 
-def similar_forms(forms: DataFrame, cosine: float, top_n: int | None, posting: int = 2000) -> DataFrame:
+def similar_forms(forms: DataFrame, cosine: float, top_n: int | None, posting: int = 2000, gap: int = 2) -> DataFrame:
     """a, b (a < b) and their cosine for forms of one label and guard above the threshold.
 
-    A guard is an array; forms with one element in common may meet. A posting of more than
+    Stems whose lengths differ by more than ``gap`` letters are not compared: no edit check
+    would pass them. A guard is an array; forms with one element in common may meet. A posting of more than
     ``posting`` forms is dealt to several tasks on one side and repeated on the other.
     """
     vectors = cut(_vectors(forms))
-    posted = vectors.filter(F.col("tail") >= cosine).select("label", F.explode("guard").alias("guard"), "gram", "form")
+    posted = vectors.filter(F.col("tail") >= cosine).select("label", F.explode("guard").alias("guard"), "gram", "form", "size")
     shares = posted.groupBy("label", "guard", "gram").agg(F.ceil(F.count("*") / posting).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1")
     posted = cut(posted.join(shares, ["label", "guard", "gram"]))
-    left = posted.select("label", "guard", "gram", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int").alias("part"), F.col("form").alias("a"))
-    right = posted.select("label", "guard", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("form").alias("b"))
-    met = left.join(right, ["label", "guard", "gram", "part"]).filter("a < b").select("a", "b").distinct()
+    left = posted.select("label", "guard", "gram", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int").alias("part"), F.col("form").alias("a"), F.col("size").alias("size_a"))
+    right = posted.select("label", "guard", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("form").alias("b"), F.col("size").alias("size_b"))
+    met = left.join(right, ["label", "guard", "gram", "part"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("size_a") - F.col("size_b")) <= gap)).select("a", "b").distinct()
     whole = vectors.groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at(F.col("vb"), x["key"]), F.lit(0.0)))
     pairs = met.join(whole.select(F.col("form").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("form").alias("b"), F.col("v").alias("vb")), "b")
