@@ -4,11 +4,13 @@ Values and entries are split into words (``names``, with a vocabulary of generic
 learned from the entries and the values); generic words are repaired to that vocabulary.
 Each distinct other word of a value, and all of them written as one, is joined to the words
 of the reference list by edit distance: both sides are spread over their deletion
-neighbourhoods, equal keys meet, and ``levenshtein`` decides. An entry all of whose rare
-words meet a value's is a candidate; candidates are ranked by soft TF-IDF, the cosine of the
-two word vectors in which a repaired word counts by its similarity. The best candidate is
-taken if its score is high enough and its qualifiers (line of business, model number,
-edition) are the value's.
+neighbourhoods (long words over their thirds), equal keys meet, and ``levenshtein`` decides.
+A word keeps all words it meets, not only the nearest: which of them belong to one entry is
+known only when the whole names are compared. An entry all of whose rare words meet a
+value's is a candidate. Its score is soft TF-IDF, the cosine of the two word vectors in which
+a repaired word counts by its similarity. Of the candidates whose score is high enough and
+whose qualifiers (line of business, model number, edition) are the value's, that with the
+fewest edits is taken, and among those the best score.
 
 Work follows the distinct values; the reference side is joined, never sent around unchecked
 (its size decides whether the optimizer broadcasts it). Rows are joined back to their value.
@@ -27,6 +29,9 @@ from factloom.llm.names import learn_vocabularies
 from factloom.llm.spellings import read_names
 from factloom.plans.session import cut
 
+#: Words are spread over their deletion neighbourhoods up to this length and over their thirds from it on; it changes no row.
+LONG = 64
+
 
 def typed_values(df: DataFrame, key: str, label: str, name: str, fallback: str, labels: list[str]) -> DataFrame:
     """key, label, value: the name, or failing that the fallback before its ``::``; rows with neither are left out."""
@@ -47,21 +52,41 @@ def deletions(token: Column) -> Column:
     return F.array_distinct(F.concat(F.array(token), one, F.when(F.length(token) >= 7, two).otherwise(F.array().cast("array<string>"))))
 
 
+def thirds(text: Column, off: int) -> Column:
+    """The thirds of a word as they would stand in ``text``, if its length and their places differ by up to ``off``.
+
+    Two edits leave one of a word's thirds whole. It is shifted by one letter at most if the
+    lengths are equal or there is one edit only.
+    """
+    shifts = range(-off, off + 1)
+    start = lambda size, k: (size * k / 3).cast("int")
+    third = lambda size, k, shift: F.substr(text, start(size, k) + 1 + shift, start(size, k + 1) - start(size, k))
+    sizes = [F.length(text) + more for more in shifts]
+    return F.array(*[F.concat_ws("|", size, F.lit(k), third(size, k, shift)) for size in sizes for k in range(3) for shift in shifts])
+
+
 def repair_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """label, token, word, sim: vocabulary words within one edit of a token.
+    """label, token, word, edits, sim: all vocabulary words as near to a token as the length allows.
 
-    From 7 letters on also those of equal length within two edits, such as two swapped letters.
+    Words of any length meet their equal. With three letters or more in the longer of the two
+    also those within one edit (of two letters it would leave one), from 7 letters on also
+    those of equal length within two edits, such as two swapped letters.
 
-    Both sides are distinct (label, token) with tokens of at least 3 letters; only the words
-    at a token's least distance are kept.
+    Both sides are distinct (label, token).
     """
-    spread = lambda df, name: df.filter("length(token) between 3 and 64").withColumn("key", F.explode(deletions(F.col("token")))).withColumnRenamed("token", name)
-    met = spread(tokens, "token").join(spread(vocabulary, "word"), ["label", "key"]).select("label", "token", "word").distinct()
-    d = F.levenshtein("token", "word")
-    long = (F.length("token") >= 7) & (F.length("token") == F.length("word"))
-    near = met.withColumn("d", d).filter((F.col("d") <= 1) | (long & (F.col("d") == 2)))
-    least = near.groupBy("label", "token").agg(F.min("d").alias("least"))
-    return near.join(least, ["label", "token"]).filter("d = least").select("label", "token", "word", (F.lit(1.0) - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim"))
+    none = F.array().cast("array<string>")
+
+    def spread(df: DataFrame, name: str, off: int) -> DataFrame:
+        token, size = F.col("token"), F.length("token")
+        keys = F.concat(F.when(size <= LONG, deletions(token)).otherwise(none), F.when(size >= LONG, thirds(token, off)).otherwise(none))
+        return df.filter("token != ''").withColumn("key", F.explode(keys)).withColumnRenamed("token", name)
+
+    met = spread(tokens, "token", 1).join(spread(vocabulary, "word", 0), ["label", "key"]).select("label", "token", "word").distinct()
+    size = F.greatest(F.length("token"), F.length("word"))
+    edits = F.levenshtein("token", "word", 2)  # -1 when over two
+    two = (size >= 7) & (F.length("token") == F.length("word"))
+    near = met.withColumn("edits", edits).filter((F.col("edits") == 0) | ((F.col("edits") == 1) & (size >= 3)) | ((F.col("edits") == 2) & two))
+    return near.withColumn("sim", F.lit(1.0) - F.col("edits") / size)
 
 
 def _versions(read: DataFrame) -> DataFrame:
@@ -100,19 +125,23 @@ def ground_values(values: DataFrame, entries: DataFrame, entry_id: str, title: s
     total = lambda m: F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
 
     side = _weigh(pages, idf, ["label", "entry", "value", "version"])
-    rare = side.select("label", "entry", F.col("value").alias("title"), F.col("version").alias("v"), F.explode("rare").alias("word")).join(idf, ["label", "word"])
-    value_words = typed.select("label", "value", "version", F.size("rare").alias("n_rare"), F.explode("rare").alias("token"))
-    met = value_words.join(repaired, ["label", "token"]).join(rare, ["label", "word"])
-    met = met.groupBy("label", "value", "version", "n_rare", "entry", "title", "v").agg(
-        F.count_distinct("token").alias("tokens"), F.count_distinct("word").alias("words"), F.sum(F.col("q") * F.col("sim")).alias("dot"), F.sum("q").alias("own")
-    )
-    met = met.filter("tokens = n_rare")  # a rare word without its counterpart means another thing
-    ours = _weigh(typed, idf, ["label", "value", "version"]).select("label", "value", "version", "guard", "g")
-    theirs = side.select("label", "entry", F.col("value").alias("title"), F.col("version").alias("v"), F.size("rare").alias("n_words"), F.col("guard").alias("guard_p"), F.col("g").alias("g_p"))
-    scored = met.join(ours, ["label", "value", "version"]).join(theirs, ["label", "entry", "title", "v"]).filter("words = n_words and guard = guard_p")
+    rare = side.select("label", "guard", "entry", F.col("value").alias("title"), F.col("version").alias("v"), F.explode("rare").alias("word")).join(idf, ["label", "word"])
+    value_words = typed.select("label", "guard", "value", "version", F.size("rare").alias("n_rare"), F.explode("rare").alias("token"))
+    met = value_words.join(repaired, ["label", "token"]).join(rare, ["label", "guard", "word"])
+    pair = F.struct("token", "word", "edits", "sim", "q")
+    met = met.groupBy("label", "value", "version", "n_rare", "entry", "title", "v").agg(F.array_sort(F.collect_set(pair)).alias("pairs"))
+    several = lambda side: F.size(F.array_distinct(F.col(f"pairs.{side}")))
+    met = met.withColumn("words", several("word")).filter(several("token") == F.col("n_rare"))  # a rare word without its counterpart means another thing
+    nearer = lambda p, side: F.exists("pairs", lambda o: (o[side] == p[side]) & (o["edits"] < p["edits"]))
+    met = met.withColumn("pairs", F.filter("pairs", lambda p: ~nearer(p, "token") | ~nearer(p, "word")))  # the nearest of a word within this entry or value
+    added = lambda f: F.aggregate("pairs", F.lit(0.0), lambda s, p: s + f(p))
+    met = met.withColumns({"dot": added(lambda p: p["q"] * p["sim"]), "own": added(lambda p: p["q"]), "edits": added(lambda p: p["edits"])}).drop("pairs")
+    ours = _weigh(typed, idf, ["label", "value", "version"]).select("label", "value", "version", "g")
+    theirs = side.select("label", "entry", F.col("value").alias("title"), F.col("version").alias("v"), F.size("rare").alias("n_words"), F.col("g").alias("g_p"))
+    scored = met.join(ours, ["label", "value", "version"]).join(theirs, ["label", "entry", "title", "v"]).filter("words = n_words")
     common = total(F.map_filter("g", lambda k, x: F.array_contains(F.map_keys("g_p"), k)))
     score = (F.col("dot") + common) / F.sqrt((F.col("own") + total("g")) * (F.col("own") + total("g_p")))
     right = scored.withColumn("score", score).filter(F.col("score") >= threshold)
-    best = right.groupBy("label", "value").agg(F.max(F.struct("score", (-F.col("entry")).alias("less"))).alias("m"))
+    best = right.groupBy("label", "value").agg(F.max(F.struct((-F.col("edits")).alias("near"), "score", (-F.col("entry")).alias("less"))).alias("m"))
     best = best.select("label", "value", (-F.col("m.less")).alias("entry"), F.col("m.score").alias("score"))
     return distinct.join(best, ["label", "value"], "left").select("label", "value", F.coalesce("entry", F.lit(-1).cast("long")).alias("entry"), "score")

@@ -3,7 +3,7 @@ import random
 import pandas as pd
 import pytest
 
-from factloom.llm.ground import ground_values, typed_values
+from factloom.llm.ground import LONG, ground_values, repair_tokens, typed_values
 from factloom.llm.linkage import _distributed, average_linkage, cluster_locally
 from factloom.llm.names import Vocabulary, edits, is_short_form, learn_vocabularies, read_name, same_given
 from factloom.llm.spellings import spelling_clusters, spelling_pairs
@@ -179,3 +179,47 @@ def test_ground(spark):
     assert sorted((r.key, r.entry) for r in found.collect()) == sorted((k, e) for k, *_, e in nodes if e is not None)
     assert {r.entry for r in ground_values(values, pages.limit(0), "pageid", "title", "label").collect()} == {-1}
     assert ground_values(values.limit(0), pages, "pageid", "title", "label").count() == 0
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_repair_tokens_as_by_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    stems = [word(n) for n in range(1, 8) for _ in range(5)] + [word(n) for n in (LONG - 1, LONG, LONG + 1, 3 * LONG) for _ in range(4)]
+
+    def changed(w):
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(w) + 1)
+            w = rng.choice([w[:k] + w[k + 1 :], w[:k] + "a" + w[k:], w[:k] + "b" + w[k + 1 :]])
+        return w
+
+    tokens = sorted({t for w in stems for t in [w, *(changed(w) for _ in range(12))] if t})
+    allowed = lambda a, b: 0 if max(len(a), len(b)) < 3 else 2 if len(a) == len(b) >= 7 else 1
+    want = sorted((t, w, d, 1 - d / max(len(t), len(w))) for t in tokens for w in set(stems) if abs(len(t) - len(w)) <= 1 and (d := levenshtein(t, w)) <= allowed(t, w))
+    tables = [spark.createDataFrame([("x", t) for t in ts], "label string, token string") for ts in (tokens, sorted(set(stems)))]
+    got = sorted((r.token, r.word, r.edits, r.sim) for r in repair_tokens(*tables).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 1e-12 for g, w in zip(got, want))
+    assert {min(len(t), LONG + 1) for t, _, d, _ in got if d == 2} >= {7, LONG, LONG + 1}
+
+
+def test_ground_words_of_any_length_and_beside_nearer_words(spark):
+    """Short and long names are found, and an entry although a word of another is nearer; the nearest that fits is taken."""
+    long = "".join(random.Random(9).choices("bcdfghklmnprstvz", k=90))
+    titles = ["LG", "Zorbalin Quexitar", "Zorbalim", "Pellurga", "Pellurgo", "Tavik", "Tavik Tavix", "Tavim Zorbalin", long.title()]
+    pages = spark.createDataFrame([(k, t, "Organization") for k, t in enumerate(titles)], "pageid long, title string, label string")
+    typed = {
+        "lg": "LG", "HG": None, "L": None, "zorbalin": "Zorbalim", "Quexitar Zorbalin": "Zorbalin Quexitar", "pellurga": "Pellurga", "pellurgo": "Pellurgo", "tavik": "Tavik", "Zorbalin Tavik": "Tavim Zorbalin",
+        long: titles[-1], long[:40] + long[41:]: titles[-1], long[:9] + "xx" + long[11:]: titles[-1], long[3:]: None,
+    }
+    values = spark.createDataFrame([("Organization", v) for v in typed], "label string, value string")
+    found = {r.value: (r.entry, r.score) for r in ground_values(values, pages, "pageid", "title", "label").collect()}
+    assert {v: titles[e] if e >= 0 else None for v, (e, _) in found.items()} == typed
+    assert all(s is None or 0.5 <= s <= 1 + 1e-12 for _, s in found.values())
